@@ -179,6 +179,8 @@ def read_records(index: DataFrame, params: TokenParams) -> DataFrame:
     bases = spark.createDataFrame(base, "part long, base long")
     ranges = index.groupBy("part", "file", F.floor(F.col("offset") / p.read_bytes).alias("_r")).agg(F.min("offset").alias("begin"), F.max(F.col("offset") + F.col("bytes")).alias("end"), F.min("before").alias("before")).join(bases, "part")
 
+    ranges = staged(ranges.select("file", "begin", "end", "before", "base"), "ranges")
+
     def read(batches):
         for b in batches:
             for r in b.to_pylist():
@@ -197,7 +199,8 @@ def read_records(index: DataFrame, params: TokenParams) -> DataFrame:
                 if rows:
                     yield _table(rows)
 
-    return ranges.select("file", "begin", "end", "before", "base").repartition(F.col("file"), F.col("begin")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a number of its own: a range is a few bytes here, and adaptive execution would merge them all
+    return ranges.repartition(max(1, ranges.count()), "file", "begin").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _table(rows: list[tuple]) -> pa.RecordBatch:
