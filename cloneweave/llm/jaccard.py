@@ -52,6 +52,7 @@ class JoinParams:
     tile_shingles: int = 1 << 21
     least_bits: int = 64
     most_bits: int = 4096
+    broadcast_rows: int = 1 << 18  # of clusters' nodes at most; beyond it their texts are joined by a shuffle
 
 
 def prefix_length(n: int, p: JoinParams) -> int:
@@ -263,27 +264,45 @@ def _verified(batches, p: JoinParams):
     yield _edges(out)
 
 
-def _members(documents: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text of the documents that are among ``nodes``.
+SPOTS = 1 << 23
 
-    A bitmap of fixed size over hashes of the ids keeps most others' texts out of the shuffle; the join decides.
-    """
-    spots = F.pmod(F.xxhash64("node"), F.lit(1 << 23))
-    marks = nodes.select(F.floor(spots / 32768).alias("i"), (spots % 32768).alias("j")).groupBy("i").agg(F.bitmap_construct_agg("j").alias("m"))
-    bitmap = bytearray(1 << 20)
+
+def _bitmap(keys: DataFrame, key: str) -> np.ndarray:
+    """A bitmap of fixed size over hashes of the keys: where its bit is 0, a key is not among them."""
+    spots = F.pmod(F.xxhash64(key), F.lit(SPOTS))
+    marks = keys.select(F.floor(spots / 32768).alias("i"), (spots % 32768).alias("j")).groupBy("i").agg(F.bitmap_construct_agg("j").alias("m"))
+    bitmap = bytearray(SPOTS >> 3)
     for r in marks.collect():  # 256 rows at most
         bitmap[r["i"] * 4096 : (r["i"] + 1) * 4096] = r["m"]
-    shared = documents.sparkSession.sparkContext.broadcast(bytes(bitmap))
+    return np.frombuffer(bytes(bitmap), dtype=np.uint8)
+
+
+def _marked(bitmap: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    return ((bitmap[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _meetings(lists: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, node of the prefixes' keys that may be among ``keys``: most others stay out of the shuffle."""
+    shared = lists.sparkSession.sparkContext.broadcast(_bitmap(keys, "key"))
+    rows = lists.select(F.col("id").alias("node"), F.explode("keys").alias("key")).withColumn("spot", F.pmod(F.xxhash64("key"), F.lit(SPOTS)))
 
     def keep(batches):
-        x = np.frombuffer(shared.value, dtype=np.uint8)
         for b in batches:
-            at = b.column("spot").to_numpy()
-            hit = (x[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-            yield b.filter(pa.array(hit.astype(bool))).select(["id", "text"])
+            yield b.filter(pa.array(_marked(shared.value, b.column("spot").to_numpy()))).select(["key", "node"])
+
+    return rows.mapInArrow(keep, "key long, node long")
+
+
+def _members(documents: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text of the documents that may be among ``nodes``; the join decides."""
+    shared = documents.sparkSession.sparkContext.broadcast(_bitmap(nodes, "node"))
+
+    def keep(batches):
+        for b in batches:
+            yield b.filter(pa.array(_marked(shared.value, b.column("spot").to_numpy()))).select(["id", "text"])
 
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null")
-    return rows.withColumn("spot", F.pmod(F.xxhash64("id"), F.lit(1 << 23))).mapInArrow(keep, "id long, text string")
+    return rows.withColumn("spot", F.pmod(F.xxhash64("id"), F.lit(SPOTS))).mapInArrow(keep, "id long, text string")
 
 
 def join_components(documents: DataFrame, params: JoinParams | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -299,27 +318,19 @@ def join_components(documents: DataFrame, params: JoinParams | None = None, id_c
     shared = lists.select(F.explode("keys").alias("key"), F.col("id").alias("node"))
     group = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("m > 1 and a <> b")
     group = staged(group.groupBy("m", "a", "b", "x").agg(F.min("key").alias("key")), "keys")  # one key of those with the same nodes
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"s_{c}"))
-    pairs = group.filter("m = 2").select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    pairs = pairs.filter(F.least("n_a", "n_b") * p.den >= F.greatest("n_a", "n_b") * p.num)
-
-    def bound(batches):
-        for b in batches:
-            ok = []
-            for m, n, x, y in zip(*(b.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b"))):
-                bits = min(len(x), len(y)) * 8
-                ok.append(bool(allowed(m, np.int64(n), int(np.bitwise_count(folded(x, bits) ^ folded(y, bits)).sum()), p)))
-            yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
-
-    many = shared.join(group.filter("m > 2").select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_semi")
+    rows = _meetings(lists, group.select("key"))
+    many = rows.join(group.select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_semi")
     many = staged(many.join(nodes.select(F.col("node").alias("_node"), "n"), F.col("node") == F.col("_node")).drop("_node"), "meetings")
     dealt = tiled(many, "key", p).join(nodes.select(F.col("node").alias("_node"), "sig", F.col("n").alias("_n")), (F.col("node") == F.col("_node")) & (F.col("n") == F.col("_n"))).drop("_node", "_n")
     found = arranged(dealt, "key").mapInArrow(lambda b: _candidates(b, p), "a long, b long")
-    clusters = components(pairs.mapInArrow(bound, "a long, b long").union(found))
+    clusters = components(found)
     roots = clusters.select("root").distinct()
     placed = clusters.union(roots.select(F.col("root").alias("node"), "root"))
     placed = staged(placed.join(nodes.select(F.col("node").alias("_node"), "n"), F.col("node") == F.col("_node")).drop("_node").distinct(), "clusters")
-    texts = _members(documents, placed, id_col, text_col).join(tiled(placed, "root", p), F.col("id") == F.col("node")).drop("id")
+    dealt = tiled(placed, "root", p)
+    if placed.count() <= p.broadcast_rows:
+        dealt = F.broadcast(dealt)
+    texts = _members(documents, placed, id_col, text_col).join(dealt, F.col("id") == F.col("node")).drop("id")
     links = arranged(texts, "root").mapInArrow(lambda b: _verified(b, p), "a long, b long")
     roots = components(links)
     label = nodes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(*(F.col(c).alias(f"_{c}") for c in same), F.coalesce("root", "node").alias("label"))
