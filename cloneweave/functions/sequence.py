@@ -21,8 +21,7 @@ def revcomp(seq: Column) -> Column:
 def codons(seq: Column, frame: int | Column = 1) -> Column:
     """Whole codons from a 1-based frame."""
     frame = F.lit(frame) if isinstance(frame, int) else frame
-    n = F.floor((F.length(seq) - frame + 1) / 3).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.substring(seq, frame + i * 3, F.lit(3)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(F.substring(seq, frame, F.length(seq)), F.lit("(?s).{3}"), F.lit(0))
 
 
 def translate(seq: Column, frame: int | Column = 1, dots: bool = False) -> Column:

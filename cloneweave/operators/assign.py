@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from math import exp
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,8 +135,10 @@ def assign(reads: DataFrame, germline: DataFrame) -> DataFrame:
     rows = reads.withColumn("_n", F.row_number().over(same)).withColumn("_rid", F.sha2(F.to_json(F.struct("sequence_id", "sequence_input", "_n")), 256)).drop("_n")
     alleles = {s: germline.filter(F.col("segment") == s).select("allele", "seq") for s in "vdjc"}
     v = named(best_hit(search(rows.select(F.col("_rid").alias("query"), F.upper("sequence_input").alias("seq")), alleles["v"], V)), "v")
+    v = v.persist(StorageLevel.MEMORY_AND_DISK)  # read by the J search and by every later join
     j = named(best_hit(search(j_queries(v), alleles["j"], J)), "j")
     vj = v.join(j, F.col("v_query") == F.col("j_query"), "left")
+    vj = vj.persist(StorageLevel.MEMORY_AND_DISK)
     d = named(best_hit(search(d_queries(vj), alleles["d"], D)), "d").select("d_query", "d_call", "d_support")
     c = named(best_hit(search(c_queries(vj), alleles["c"], C)), "c").select("c_query", "c_call", "c_support")
     calls = vj.join(d, F.col("v_query") == F.col("d_query"), "left").join(c, F.col("v_query") == F.col("c_query"), "left")

@@ -70,7 +70,8 @@ def group_paired_fastqs(path, schema: str = "illumina") -> dict[str, dict[str, t
 
 
 def _trimmed(seq: str, qual: str, adapter: str | None, p: MergeParams) -> tuple[str, str]:
-    if adapter and (at := seq.find(adapter[: p.seed])) >= 0:
+    at = seq.find(adapter[: p.seed]) if adapter else -1
+    if at >= 0 and sum(a != b for a, b in zip(seq[at:], adapter)) <= min(len(adapter), len(seq) - at) // 8:
         seq, qual = seq[:at], qual[:at]
     q = np.frombuffer(qual.encode("latin-1"), dtype=np.uint8).astype(int) - 33
     end = len(q)
