@@ -7,7 +7,7 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloneweave.llm import decontaminate, jaccard, langid, mixing, tokenio
@@ -15,7 +15,11 @@ from cloneweave.llm.common import fresh_path, table
 from cloneweave.llm.queries import token_params
 
 LEAST_SCORE = 0.3  # of a language's probability
-_KEY = F.xxhash64("doc_id", "text")
+
+
+def _key() -> Column:
+    """One for each document, whatever its id."""
+    return F.xxhash64("doc_id", "text")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,15 +43,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    held = decontaminate.leaks(docs.select(_KEY.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    return docs.join(held.select(F.col("doc_id").alias("_key")).distinct(), _KEY == F.col("_key"), "left_anti")
+    held = decontaminate.leaks(docs.select(_key().alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    return docs.join(held.select(F.col("doc_id").alias("_key")).distinct(), _key() == F.col("_key"), "left_anti")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, to the nearest whole time."""
-    taken = mixing.mix(docs.select(_KEY.alias("doc_id"), "text", "source"))
+    taken = mixing.mix(docs.select(_key().alias("doc_id"), "text", "source"))
     times = taken.filter("size > 0").groupBy(F.col("doc_id").alias("_key")).agg(F.max(F.round(F.col("taken") / F.col("size"))).cast("int").alias("_times"))
-    rows = docs.join(times.filter("_times > 0"), _KEY == F.col("_key"))
+    rows = docs.join(times.filter("_times > 0"), _key() == F.col("_key"))
     return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
