@@ -54,6 +54,14 @@ def grams_of(tokens: Column, first: Column, last: Column, k: int) -> Column:
     return F.transform(F.sequence(first, last), lambda i: hashed(tokens, i, k))
 
 
+def shared_weight(a: Column, b: Column) -> Column:
+    """Sum of the smaller weights of the shingles that both have; where one side repeats none, their number."""
+    both = F.array_intersect(a, b)
+    times = lambda s, h: F.size(F.filter(s, lambda x: x == h))
+    plain = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    return F.when(plain, F.size(both)).otherwise(F.aggregate(both, F.lit(0), lambda n, h: n + F.least(times(a, h), times(b, h))))
+
+
 def stride(m: int, least: float) -> int:
     """How many shingles may be stepped over so that a window similar to an item of m shingles has a hit."""
     steps = [m]
@@ -103,14 +111,14 @@ def leaks(documents: DataFrame, items: DataFrame, params: LeakParams | None = No
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     bench = items.select(F.col(item_col).alias("item_id"), words(F.col(item_text)).alias("w")).withColumn("n", F.size("w")).filter("n > 0").distinct()
     bench = bench.withColumn("k", F.least(F.lit(p.k), F.col("n"))).withColumn("m", F.col("n") - F.col("k") + 1)
-    grams = None
+    whole = None
     for k in range(1, p.k + 1):
         at = grams_of(F.col("w"), F.lit(0), F.col("m") - 1, k)
-        some = bench.filter(F.col("k") == k).select("item_id", "m", "k", F.xxhash64("w").alias("ih"), F.explode(at).alias("h"))
-        grams = some if grams is None else grams.union(some)
-    grams = staged(grams, "items")
+        some = bench.filter(F.col("k") == k).select("item_id", "m", "k", F.xxhash64("w").alias("ih"), at.alias("grams"))
+        whole = some if whole is None else whole.union(some)
+    whole = staged(whole, "items")
+    grams = whole.select("item_id", "m", "k", "ih", F.explode("grams").alias("h"))
     sizes = grams.select("k", "m").distinct().collect()  # the items' lengths
-    weights = grams.groupBy("item_id", "ih", "m", "k", "h").agg(F.count(F.lit(1)).alias("c"))
     known = grams.select("h", "m", "k").distinct()
     hits = None
     for k in sorted({r["k"] for r in sizes}):
@@ -136,12 +144,11 @@ def leaks(documents: DataFrame, items: DataFrame, params: LeakParams | None = No
     cond = same[0]
     for c in same[1:]:
         cond = cond & c
-    own = near.alias("n").join(windows.alias("w"), cond).select(*(F.col(f"n.{c}").alias(c) for c in key), F.col("n.item_id").alias("item_id"), F.col("n.ih").alias("ih"), F.size("w.own").alias("total"), F.explode("w.own").alias("h"))
-    counts = own.groupBy(*key, "item_id", "ih", "total", "h").agg(F.count(F.lit(1)).alias("n"))
-    w = weights.select(F.col("item_id").alias("_item"), F.col("ih").alias("_ih"), F.col("h").alias("_h"), "c")
-    both = counts.join(w, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("ih") == F.col("_ih")) & (F.col("h") == F.col("_h")))
-    shared = both.groupBy(*key, "item_id", "ih", "total").agg(F.sum(F.least("n", "c")).alias("overlap"))
-    similarity = F.col("overlap") / (F.col("total") + F.col("m") - F.col("overlap"))
-    found = shared.withColumn("similarity", similarity).filter(F.col("similarity") >= p.least)
+    own = near.alias("n").join(windows.alias("w"), cond).select(*(F.col(f"n.{c}").alias(c) for c in key), F.col("n.item_id").alias("item_id"), F.col("n.ih").alias("ih"), F.col("w.own").alias("own"))
+    small = whole.count() <= p.broadcast_rows // 64
+    of = whole.select(F.col("item_id").alias("_item"), F.col("ih").alias("_ih"), "grams")
+    both = own.join(F.broadcast(of) if small else of, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("ih") == F.col("_ih")))
+    overlap = shared_weight(F.col("own"), F.col("grams"))
+    found = both.withColumn("_o", overlap).withColumn("similarity", F.col("_o") / (F.size("own") + F.col("m") - F.col("_o"))).filter(F.col("similarity") >= p.least)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("at")).alias("back"))).alias("best"))
     return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("first_word"))
