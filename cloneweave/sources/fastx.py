@@ -122,7 +122,9 @@ class FastxReader(DataSourceReader):
             out += [FastxRange(path, a, min(size, a + self.step)) for a in range(0, size, self.step)]
         return out
 
-    def read(self, part: FastxRange) -> Iterator[tuple]:
+    def read(self, part: FastxRange | None) -> Iterator[tuple]:
+        if part is None:  # what Spark passes where there is no partition
+            return
         system, at = opened(part.path)
         name = sample_name(part.path)
         if part.end is None:
