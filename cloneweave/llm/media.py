@@ -171,7 +171,9 @@ class ArchiveReader(DataSourceReader):
             entries = json.loads(f.read())
         return [ByteRange(e["archive"], a, min(a + self.range_bytes, e["bytes"])) for e in entries for a in range(0, e["bytes"], self.range_bytes)]
 
-    def read(self, part: ByteRange):
+    def read(self, part: ByteRange | None):
+        if part is None:  # what Spark passes where there is no partition
+            return
         system, path = blobs.opened(part.archive)
         with system.open_input_stream(path + ".idx") as f:
             offsets = np.frombuffer(f.read(), dtype="<i8")

@@ -95,6 +95,8 @@ def files(spark: SparkSession, folder: str) -> DataFrame:
 def parse_arc(read, line) -> Iterator[tuple[str, str, str, bytes]]:
     """(url, 14-digit date, content type, block) of each record, from read(n) and line() of a stream."""
     head = line().decode().rstrip("\n").split(" ")
+    if head == [""]:  # a file without records
+        return
     about = read(int(head[-1])).decode().split("\n")
     version = int(about[0].split(" ")[0])
     if about[1].count(" ") + 1 != FIELDS[version]:
