@@ -9,8 +9,8 @@
 3. Nodes that share a prefix shingle meet in tiles.  Hashed bitmap signatures
    (the parity of shingles in each of W bits) bound a pair's overlap from
    above: bits that differ are elements that only one set has.  A tile returns
-   a spanning forest of the pairs the bound lets pass; the components of these
-   forests are clusters, and every linked pair lies within one.
+   what the pairs the bound lets pass connect, as stars around smallest ids;
+   the components of all stars are clusters, and every linked pair lies within one.
 4. A cluster's nodes meet with their whole texts, in one tile, or in tiles of
    neighbouring size bands and chunks when the cluster is large.  Pairs not yet
    connected whose sizes and bit counts allow a link are decided by exact
@@ -83,24 +83,16 @@ def allowed(n: int, sizes: np.ndarray, apart: np.ndarray | int, p: JoinParams) -
     return p.den * overlap >= p.num * (n + sizes - overlap)
 
 
-class Forest:
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-
-    def join(self, i: int, j: int) -> None:
-        self.root[self.root == self.root[j]] = self.root[i]
-
-
 def forest(sizes: np.ndarray, sigs: np.ndarray, p: JoinParams, able: np.ndarray | None = None, exact=None):
-    """Edges (i, j) that connect what allowed (and, if given, ``exact``) pairs connect; rows are in size order.
+    """A number for each row, the same for rows that allowed (and, if given, ``exact``) pairs connect; rows are in size order.
 
     ``able(i, j...)`` may forbid pairs that another tile compares.
     """
-    tree = Forest(len(sizes))
+    root = np.arange(len(sizes))
     bits = sigs.view(np.uint64) if sigs.shape[1] % 8 == 0 else sigs
     for i in range(1, len(sizes)):
         low = int(np.searchsorted(sizes, -(-p.num * int(sizes[i]) // p.den)))
-        j = low + np.flatnonzero(tree.root[low:i] != tree.root[i])
+        j = low + np.flatnonzero(root[low:i] != root[i])
         if able is not None and len(j):
             j = j[able(i, j)]
         if not len(j):
@@ -110,11 +102,11 @@ def forest(sizes: np.ndarray, sigs: np.ndarray, p: JoinParams, able: np.ndarray
         while len(j):
             at = int(j[-1])
             if exact is None or exact(i, at):
-                yield i, at
-                tree.join(i, at)
-                j = j[tree.root[j] != tree.root[i]]
+                root[root == root[at]] = root[i]
+                j = j[root[j] != root[i]]
             else:
                 j = j[:-1]
+    return root
 
 
 def describe(documents: DataFrame, p: JoinParams, id_col: str, text_col: str) -> DataFrame:
@@ -228,6 +220,14 @@ def _able(rows: list[dict]):
     return lambda i, j: ~(high[i] & high[j]) & ((chunk[j] != chunk[i]) if two else np.ones(len(j), dtype=bool))
 
 
+def _stars(nodes: list[int], root: np.ndarray) -> list[tuple[int, int]]:
+    """Edges from the smallest node of each connected set to its others: a long chain would take many rounds of components."""
+    centre: dict[int, int] = {}
+    for node, r in zip(nodes, root.tolist()):
+        centre[r] = min(node, centre.get(r, node))
+    return [(node, centre[r]) for node, r in zip(nodes, root.tolist()) if node != centre[r]]
+
+
 def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([x[0] for x in pairs], pa.int64()), pa.array([x[1] for x in pairs], pa.int64())], ["a", "b"])
 
@@ -238,7 +238,7 @@ def _candidates(batches, p: JoinParams):
         bits = min(len(r["sig"]) for r in rows) * 8
         sigs = np.stack([folded(r["sig"], bits) for r in rows])
         sizes = np.array([r["n"] for r in rows], dtype=np.int64)
-        out += [(rows[i]["node"], rows[j]["node"]) for i, j in forest(sizes, sigs, p, _able(rows))]
+        out += _stars([r["node"] for r in rows], forest(sizes, sigs, p, _able(rows)))
         if len(out) > 8192:
             yield _edges(out)
             out = []
@@ -257,7 +257,7 @@ def _verified(batches, p: JoinParams):
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             return p.den * both >= p.num * (len(sets[i]) + len(sets[j]) - both)
 
-        out += [(rows[i]["node"], rows[j]["node"]) for i, j in forest(sizes, sigs, p, _able(rows), exact)]
+        out += _stars([r["node"] for r in rows], forest(sizes, sigs, p, _able(rows), exact))
         if len(out) > 8192:
             yield _edges(out)
             out = []
