@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date
@@ -230,15 +231,17 @@ KINDS: list[tuple[str, re.Pattern, Callable[[re.Match, PiiParams], str | None]]]
 
 def pseudonymised(text: str, p: PiiParams) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with its values replaced, and (kind, start, length, replacement) of each, by place in the original."""
-    found: list[tuple[int, int, str, str]] = []
+    found: list[tuple[int, int, str, str]] = []  # in order and apart, so a match can meet only the two beside it
     for kind, pattern, pseudonym in KINDS:
+        more = []
         for m in pattern.finditer(text):
-            if any(m.start() < b and a < m.end() for a, b, _, _ in found):
+            at = bisect_left(found, (m.end(),))
+            if at and found[at - 1][1] > m.start():
                 continue
             new = pseudonym(m, p)
             if new is not None:
-                found.append((m.start(), m.end(), kind, new))
-    found.sort()
+                more.append((m.start(), m.end(), kind, new))
+        found = sorted(found + more)
     out, at = [], 0
     for a, b, _, new in found:
         out += [text[at:a], new]
