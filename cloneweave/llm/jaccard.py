@@ -181,7 +181,8 @@ def _groups(batches, keys: list[str]):
                 yield now, group
                 group = []
             now = at
-            group.append(r)
+            if not group or r != group[-1]:  # repeated rows stand side by side
+                group.append(r)
     if group:
         yield now, group
 
@@ -249,6 +250,10 @@ def _verified(batches, p: JoinParams):
     out = []
     for _, rows in _groups(batches, ["root", "_g", "_c1", "_c2"]):
         sets = [s for _, s in tk.shingles(pa.array([r["text"] for r in rows], pa.large_string()), p.k)]
+        mine = [i for i, r in enumerate(rows) if r["n"] == len(sets[i])]  # an id of several texts meets all their sizes
+        if not mine:
+            continue
+        rows, sets = [rows[i] for i in mine], [sets[i] for i in mine]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         bits = width(int(sizes.max()), p)
         sigs = np.stack([signature(s >> np.uint64(20), bits) for s in sets])
@@ -314,10 +319,12 @@ def join_components(documents: DataFrame, params: JoinParams | None = None, id_c
     nodes = staged(sets.filter("n > 0").groupBy(*same).agg(F.min("id").alias("node"), F.first("sig").alias("sig")).filter("node is not null"), "nodes")
     order = rarity(described, p)
     lists = prefixes(documents, order, p, id_col, text_col).join(nodes.select("node").distinct(), F.col("id") == F.col("node"), "left_semi")
-    lists = staged(lists, "prefixes")
+    lists = staged(lists.dropDuplicates(["id", "keys"]), "prefixes")
     shared = lists.select(F.explode("keys").alias("key"), F.col("id").alias("node"))
-    group = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("a"), F.max("node").alias("b"), F.bit_xor(F.xxhash64("node")).alias("x")).filter("m > 1 and a <> b")
-    group = staged(group.groupBy("m", "a", "b", "x").agg(F.min("key").alias("key")), "keys")  # one key of those with the same nodes
+    # sums of hashes, not their xor: a node of several texts can stand at a key more than once
+    low, high = F.xxhash64("node").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(F.xxhash64("node"), 32)
+    group = shared.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("a"), F.max("node").alias("b"), F.sum(low).alias("x"), F.sum(high).alias("y")).filter("m > 1 and a <> b")
+    group = staged(group.groupBy("m", "a", "b", "x", "y").agg(F.min("key").alias("key")), "keys")  # one key of those with the same nodes
     rows = _meetings(lists, group.select("key"))
     many = rows.join(group.select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_semi")
     many = staged(many.join(nodes.select(F.col("node").alias("_node"), "n"), F.col("node") == F.col("_node")).drop("_node"), "meetings")

@@ -109,6 +109,27 @@ def test_jaccard(spark, k, num, tile):
     assert got == brute_components(rows, k, num, 100)
 
 
+def relinked(f):
+    """A base text, two with another stretch of it rewritten each, and one with a word changed in the first of these stretches."""
+    base = [f"b{f}_{i}" for i in range(203)]
+    one, two = base[:40] + [f"x{f}_{i}" for i in range(13)] + base[53:], base[:140] + [f"y{f}_{i}" for i in range(13)] + base[153:]
+    return [(1000 * f + i, " ".join(w)) for i, w in ((1, base), (5, one), (7, two), (9, base[:46] + ["z"] + base[47:]))]
+
+
+@pytest.mark.parametrize("times", [2, 3])
+def test_jaccard_repeated_rows(spark, times):
+    rows = [r for f in range(25) for r in relinked(f)] + [(i + 100_000, t) for i, t in near_copies(160)]
+    got = [(r[0], (r[1], r[2])) for r in jaccard.join_components(spark.createDataFrame(rows * times, "doc_id long, text string").repartition(3)).collect()]
+    assert len(got) == times * len(rows) and dict(got) == brute_components(rows, 4, 85, 100) and len(set(got)) == len(rows)
+
+
+def test_jaccard_ids_of_two_texts(spark):
+    rows = [r for f in range(25) for r in relinked(f)]
+    rows += [(i, f"{t} {' '.join(f'q{i}_{j}' for j in range(5))}") for i, t in rows]
+    got = {r[0]: r[2] for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 1000 * 1000 + 1 for i, _ in rows}
+
+
 def test_jaccard_odd(spark):
     got = jaccard.join_components(docs(spark, ODD)).collect()
     assert len(got) == len(ODD)
