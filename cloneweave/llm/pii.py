@@ -8,6 +8,9 @@ case and character classes stay, check digits are made anew.  The permutation
 depends on key and format only, so equal values get equal pseudonyms in all
 documents, however they are punctuated.
 
+Numbers of cards and IBANs are looked for in all stretches of whole groups, as
+another number may stand beside them; a known issuer's or country's form goes first.
+
 Defined results: a null text stays null with no findings; an empty text stays
 empty; values that fail validation and all other text stay as they are.
 """
@@ -16,8 +19,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
-from collections.abc import Callable
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import date
 from functools import lru_cache
@@ -32,6 +35,12 @@ LIKELY = r"[0-9]|@"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 # English month names.
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
+# Lengths of IBANs by country, and beginnings and lengths of cards by issuer.
+IBAN_LENGTHS = {c: int(n) for n, some in (x.split(":") for x in (
+    "15:NO|16:BE|18:DK FO FI FK GL NL SD|19:MK SI|20:AT BA EE KZ XK LT LU MN|21:HR LV LI CH|22:BH BG CR GE DE IE ME RS GB VA|23:GI IL IQ OM SO TL AE|"
+    "24:AD CZ MD PK RO SA SK ES SE TN VG|25:LY PT ST|26:IS TR|27:BI DJ FR GR IT MR MC SM|28:AL AZ BY CY DO GT HU LB NI PL SV|29:BR EG PS QA UA|30:JO KW MU YE|31:MT SC|32:LC|33:RU"
+).split("|")) for c in some.split()}
+ISSUED = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7]|35|6[0245])\d{14}|3[47]\d{13}|3[0689]\d{12}|6[2-7]\d{14,17}|5[06-8]\d{12,17}")
 
 
 @dataclass(frozen=True)
@@ -134,6 +143,34 @@ def card(m: re.Match, p: PiiParams) -> str | None:
     return _pour(m[0], body + str(luhn(body)))
 
 
+def card_parts(m: re.Match) -> list[tuple[int, int]]:
+    """Spans of whole digit groups with 13 to 19 digits and a valid check digit, longest first."""
+    groups = [(g.start(), g.end()) for g in re.finditer(r"\d+", m[0])]
+    digits = re.sub(r"\D", "", m[0])
+    at, sums = [0], [[0], [0]]  # digits before each group; sums of check values by the parity of the digits that count once
+    for a, b in groups:
+        at.append(at[-1] + b - a)
+    for i, d in enumerate(map(int, digits)):
+        twice = d * 2 - 9 * (d > 4)
+        sums[i % 2].append(sums[i % 2][-1] + d)
+        sums[1 - i % 2].append(sums[1 - i % 2][-1] + twice)
+    out = []
+    for i in range(len(groups)):
+        for j in range(i, len(groups)):
+            n = at[j + 1] - at[i]
+            if n > 19:
+                break
+            of = sums[(at[j + 1] - 1) % 2]
+            if n >= 13 and (of[at[j + 1]] - of[at[i]]) % 10 == 0:
+                out.append((-n, m.start() + groups[i][0], m.start() + groups[j][1]))
+    return [(a, b) for _, a, b in sorted(out)]
+
+
+def issued_parts(m: re.Match) -> list[tuple[int, int]]:
+    """Those that begin as an issuer's cards do and are as long."""
+    return [(a, b) for a, b in card_parts(m) if ISSUED.fullmatch(re.sub(r"\D", "", m.string[a:b]))]
+
+
 def iban(m: re.Match, p: PiiParams) -> str | None:
     value = m[0].replace(" ", "")
     number = lambda s: int("".join(str(int(c, 36)) for c in s))
@@ -143,6 +180,26 @@ def iban(m: re.Match, p: PiiParams) -> str | None:
     return _pour(m[0], value[:2] + f"{98 - number(body + value[:2] + '00') % 97:02d}" + body)
 
 
+def iban_parts(m: re.Match) -> list[tuple[int, int]]:
+    """Spans from the match's start to ends of its groups, longest first."""
+    a, text, n, out = m.start(), m[1], 0, []
+    for i, c in enumerate(text):
+        n += c != " "
+        after = m.string[a + i + 1 : a + i + 2]
+        if c != " " and 15 <= n <= 34 and not (after.isascii() and after.isalnum()):
+            out.append((a, a + i + 1))
+    return out[::-1]
+
+
+def national_parts(m: re.Match) -> list[tuple[int, int]]:
+    """That of the country's length."""
+    return [(a, b) for a, b in iban_parts(m) if b - a - m.string.count(" ", a, b) == IBAN_LENGTHS.get(m[1][:2])]
+
+
+def whole(m: re.Match) -> list[tuple[int, int]]:
+    return [m.span()]
+
+
 def ssn(m: re.Match, p: PiiParams) -> str | None:
     area, group, serial = int(m[1]), int(m[2]), int(m[3])
     if area in (0, 666) or area >= 900 or not group or not serial:
@@ -214,33 +271,44 @@ def named_date(m: re.Match, p: PiiParams) -> str | None:
 
 
 _NAMES = "|".join(MONTHS)
-#: (kind, pattern, pseudonym of a match or None if it isn't valid); earlier kinds take a stretch of text first.
-KINDS: list[tuple[str, re.Pattern, Callable[[re.Match, PiiParams], str | None]]] = [
-    ("email", re.compile(r"(?<![\w.+-])([\w.%+-]{1,64})@((?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})"), email),
-    ("secret", re.compile(r"""((?i:\b(?:token|password|passwd|secret|api[_-]?key)\b)\s{0,3}[=:]\s{0,3}["']?)([A-Za-z0-9_+/-]{8,256})"""), secret),
-    ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), iban),
-    ("ip", re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"), address),
-    ("date", re.compile(r"(?<![\d/.-])(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?![\d/-]|\.\d)"), iso_date),
-    ("date", re.compile(r"(?<![\d/.-])(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?![\d/-]|\.\d)"), short_date),
-    ("date", re.compile(rf"(?<!\d)(?:(\d{{1,2}}) ({_NAMES}) (\d{{4}})|({_NAMES}) (\d{{1,2}}), (\d{{4}}))(?!\d)"), named_date),
-    ("ssn", re.compile(r"(?<![\d-])(\d{3})-(\d{2})-(\d{4})(?![\d-])"), ssn),
-    ("card", re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"), card),
-    ("phone", re.compile(r"(?<![\w.])(\+\d{1,3}[ .-]?)?(\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\d-])"), phone),
+_DIGITS = re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,}+")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}))")
+_ALL = re.compile(r"(?s:.+)")
+#: (kind, pattern, pseudonym of a match or None if it isn't valid, spans of a match to try); earlier kinds take a stretch of text first.
+KINDS: list[tuple[str, re.Pattern, Callable[[re.Match, PiiParams], str | None], Callable[[re.Match], Iterable[tuple[int, int]]]]] = [
+    ("email", re.compile(r"(?<![\w.+-])([\w.%+-]{1,64})@((?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})"), email, whole),
+    ("secret", re.compile(r"""((?i:\b(?:token|password|passwd|secret|api[_-]?key)\b)\s{0,3}[=:]\s{0,3}["']?)([A-Za-z0-9_+/-]{8,256})"""), secret, whole),
+    ("iban", _IBAN, iban, national_parts),
+    ("iban", _IBAN, iban, iban_parts),
+    ("ip", re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"), address, whole),
+    ("date", re.compile(r"(?<![\d/.-])(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?![\d/-]|\.\d)"), iso_date, whole),
+    ("date", re.compile(r"(?<![\d/.-])(\d{1,2})([-/.])(\d{1,2})\2(\d{4})(?![\d/-]|\.\d)"), short_date, whole),
+    ("date", re.compile(rf"(?<!\d)(?:(\d{{1,2}}) ({_NAMES}) (\d{{4}})|({_NAMES}) (\d{{1,2}}), (\d{{4}}))(?!\d)"), named_date, whole),
+    ("ssn", re.compile(r"(?<![\d-])(\d{3})-(\d{2})-(\d{4})(?![\d-])"), ssn, whole),
+    ("card", _DIGITS, card, issued_parts),
+    ("card", re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"), card, whole),
+    ("phone", re.compile(r"(?<![\w.])(\+\d{1,3}[ .-]?)?(\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\d-])"), phone, whole),
+    ("card", _DIGITS, card, card_parts),  # after phones: one in ten of any digits has a valid check digit
 ]
 
 
+def _meets(found: list[tuple[int, int, str, str]], a: int, b: int) -> bool:
+    at = bisect_left(found, (b,))
+    return bool(at) and found[at - 1][1] > a
+
+
 def pseudonymised(text: str, p: PiiParams) -> tuple[str, list[tuple[str, int, int, str]]]:
     """The text with its values replaced, and (kind, start, length, replacement) of each, by place in the original."""
     found: list[tuple[int, int, str, str]] = []  # in order and apart, so a match can meet only the two beside it
-    for kind, pattern, pseudonym in KINDS:
-        more = []
+    for kind, pattern, pseudonym, parts in KINDS:
+        more: list[tuple[int, int, str, str]] = []  # likewise
         for m in pattern.finditer(text):
-            at = bisect_left(found, (m.end(),))
-            if at and found[at - 1][1] > m.start():
-                continue
-            new = pseudonym(m, p)
-            if new is not None:
-                more.append((m.start(), m.end(), kind, new))
+            for a, b in parts(m):
+                if _meets(found, a, b) or _meets(more, a, b):
+                    continue
+                new = pseudonym(m if (a, b) == m.span() else _ALL.fullmatch(text, a, b), p)
+                if new is not None:
+                    insort(more, (a, b, kind, new))
         found = sorted(found + more)
     out, at = [], 0
     for a, b, _, new in found:

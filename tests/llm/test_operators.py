@@ -382,6 +382,29 @@ def test_links_and_clean_text():
         assert pii.pseudonymised(clean, P) == (clean, [])
 
 
+@pytest.mark.parametrize(
+    "kind,value,text",
+    [
+        ("card", "4111111111111111", "{} 123"), ("card", "4111 1111 1111 1111", "{} 12/25"), ("card", "4111111111111111", "5 {}"), ("card", "4111 1111 1111 1111", "12 {}"),
+        ("card", "4111111111111111", "{} 97.51.17.173"), ("card", "4111 1111 1111 1111", "7 12 {} 123 2024"), ("card", "4111-1111-1111-1111", "{}-123"), ("card", "9999 9999 9999 9995", "12 {} 3"),
+        ("iban", "BE68 5390 0754 7034", "{} BIC"), ("iban", "BE68539007547034", "{} 2024"), ("iban", "BE68 5390 0754 7034", "AB12 {} EUR 100"), ("iban", "GB82 WEST 1234 5698 7654 32", "{} GEBABEBB"),
+    ],
+)
+def test_numbers_beside_others(kind, value, text):
+    new, found = pii.pseudonymised(text.format(value), P)
+    mine = [f for f in found if f[0] == kind]
+    assert [(f[1], f[2]) for f in mine] == [(text.index("{"), len(value))]
+    assert value not in new and mine[0][3] == pii.pseudonymised(value, P)[0]
+    assert "97.51" in text or new == text.format(mine[0][3])
+
+
+def test_cards_in_long_runs():
+    cards = ["4111 1111 1111 1111", "4539 1488 0343 6467", "5555555555554444"]
+    new, found = pii.pseudonymised(" ".join(cards * 50), P)
+    assert [f[2] for f in found] == [len(c) for c in cards] * 50 and not any(c in new for c in cards)
+    assert len(pii.pseudonymised("4111 1111 1111 1111 017-555-7713", P)[1]) == 2
+
+
 def test_pii_odd(spark):
     d = docs(spark, [*ODD, (30, "mail a.b1@x.example.org now")])
     got = pii.pseudonymise(d)
