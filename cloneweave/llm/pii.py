@@ -231,7 +231,7 @@ def phone(m: re.Match, p: PiiParams) -> str:
 
 
 def secret(m: re.Match, p: PiiParams) -> str | None:
-    if not any(c.isdigit() for c in m[2]):
+    if len(m[2]) < 8 or not any(c.isdigit() for c in m[2]):
         return None
     return m[1] + permuted(m[2], "secret", p)
 
@@ -277,7 +277,7 @@ _ALL = re.compile(r"(?s:.+)")
 #: (kind, pattern, pseudonym of a match or None if it isn't valid, spans of a match to try); earlier kinds take a stretch of text first.
 KINDS: list[tuple[str, re.Pattern, Callable[[re.Match, PiiParams], str | None], Callable[[re.Match], Iterable[tuple[int, int]]]]] = [
     ("email", re.compile(r"(?<![\w.+-])([\w.%+-]{1,64})@((?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})"), email, whole),
-    ("secret", re.compile(r"""((?i:\b(?:token|password|passwd|secret|api[_-]?key)\b)\s{0,3}[=:]\s{0,3}["']?)([A-Za-z0-9_+/-]{8,256})"""), secret, whole),
+    ("secret", re.compile(r"""((?i:(?:token|password|passwd|secret|api[_-]?key)\b)\s{0,3}[=:]\s{0,3}["']?)([A-Za-z0-9_+/-]+(?:\.+[A-Za-z0-9_+/-]+)*)"""), secret, whole),
     ("iban", _IBAN, iban, national_parts),
     ("iban", _IBAN, iban, iban_parts),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"), address, whole),

@@ -405,6 +405,17 @@ def test_cards_in_long_runs():
     assert len(pii.pseudonymised("4111 1111 1111 1111 017-555-7713", P)[1]) == 2
 
 
+@pytest.mark.parametrize("name", ["token", "access_token", "client_secret", "MY-API-KEY", "userPassword"])
+@pytest.mark.parametrize("value", ["a1b2c3d4e5" * 40, "Q" * 300 + "7" * 100, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVPmB92K27", "04dbebab91ab85687d33"])
+def test_whole_secrets(name, value):
+    new, found = pii.pseudonymised(f"{name} = {value}. Next", P)
+    assert [f[0] for f in found] == ["secret"] and found[0][1] + found[0][2] == len(f"{name} = {value}")
+    got = new[len(f"{name} = ") : -len(". Next")]
+    assert new.startswith(f"{name} = ") and new.endswith(". Next") and len(got) == len(value)
+    assert not any(value[i : i + 16] == got[i : i + 16] for i in range(0, len(value) - 16, 16))
+    assert pii.pseudonymised(f"{name}={'a' * 400} and token=abc1.", P)[1] == []
+
+
 def test_pii_odd(spark):
     d = docs(spark, [*ODD, (30, "mail a.b1@x.example.org now")])
     got = pii.pseudonymise(d)
