@@ -82,9 +82,10 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: set[bytes], wait: list[tuple[int, list[bytes]]]) -> None:
+        """Adds ``words``; where the cache is full, it keeps of the others only those of the documents in ``wait``."""
         if len(self.cache) + len(words) > self.p.cache:
-            self.cache.clear()
+            self.cache = {w: self.cache[w] for _, those in wait for w in those if w in self.cache}
         get, stems = self.cache.__getitem__, {}
         for w in words:
             cut = len(w) > 1 and w[-1] in b".," and w[-2:-1].isalpha()
@@ -117,13 +118,12 @@ class Encoder:
         longest = self.p.longest
         missing = {w for _, words in wait for w in words if w not in self.cache}
         long = {w for w in missing if len(w) > longest}
-        self.learn(missing - long)
+        self.learn(missing - long, wait)
         once = {w: self.whole(w.decode()) for w in long}
         for i, words in wait:
             try:
                 out[i] = b"".join(map(self.cache.__getitem__, words))
-            except KeyError:  # a long word, or the cache was emptied for this batch
-                self.learn({w for w in words if w not in self.cache and w not in once})
+            except KeyError:  # a long word
                 out[i] = b"".join(once[w] if w in once else self.cache[w] for w in words)
 
 

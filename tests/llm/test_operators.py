@@ -246,6 +246,12 @@ def test_encoder_is_the_librarys():
     assert e.batch(texts) == [e.whole(t or "") for t in texts]
 
 
+def test_encoder_after_a_full_cache():
+    e = tokenio.Encoder(tokens().tokenizer, tokens())
+    for texts in (["the end of the day, the"], [" ".join(["the", *(f"w{i}" for i in range(60)), "end."]), "the day, of"], ["of the w1 w2"]):
+        assert e.batch(texts) == [e.whole(t) for t in texts]
+
+
 def test_records(spark):
     p = tokens()
     rows = [r for r in ODD if r[0] != 8] + [(i, f"text number {i}. " * (i % 5)) for i in range(20, 400)]
