@@ -10,9 +10,20 @@ documents, however they are punctuated.
 
 Numbers of cards and IBANs are looked for in all stretches of whole groups, as
 another number may stand beside them; a known issuer's or country's form goes first.
+Of an address the whole registered domain goes, only its public suffix stays.
+Days are permuted among those whose day and whose month have as many digits, so
+that a date keeps its width and is linked with the same day written otherwise.
+Phone numbers need an assigned country code after a plus sign, or the shape of
+ten digits in groups of 3, 3 and 4.  Secrets follow a name such as ``token``
+and have eight characters or more, with a digit, or else capitals after small
+letters, or twenty characters; words such as ``password: required`` stay.
+
+Whoever has the key can undo the pseudonyms, so a key must be given.
 
 Defined results: a null text stays null with no findings; an empty text stays
-empty; values that fail validation and all other text stay as they are.
+empty; values that fail validation and all other text stay as they are; columns
+``n_found``, ``findings`` and ``_pii`` of the input are replaced; repeated rows
+and rows of null id are rows like others; texts and values may have any length.
 """
 
 from __future__ import annotations
@@ -31,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FINDINGS = "array<struct<kind:string,start:int,length:int,replacement:string>>"
-LIKELY = r"[0-9]|@"
+LIKELY = r"[0-9]|@|[=:]"
 FIRST_DAY, LAST_DAY = date(1900, 1, 1).toordinal(), date(2099, 12, 31).toordinal()
 # English month names.
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December"]
@@ -40,14 +51,23 @@ IBAN_LENGTHS = {c: int(n) for n, some in (x.split(":") for x in (
     "15:NO|16:BE|18:DK FO FI FK GL NL SD|19:MK SI|20:AT BA EE KZ XK LT LU MN|21:HR LV LI CH|22:BH BG CR GE DE IE ME RS GB VA|23:GI IL IQ OM SO TL AE|"
     "24:AD CZ MD PK RO SA SK ES SE TN VG|25:LY PT ST|26:IS TR|27:BI DJ FR GR IT MR MC SM|28:AL AZ BY CY DO GT HU LB NI PL SV|29:BR EG PS QA UA|30:JO KW MU YE|31:MT SC|32:LC|33:RU"
 ).split("|")) for c in some.split()}
+SECOND_LEVEL = {"ac", "co", "com", "edu", "gov", "net", "or", "org"}  # below a country's domain
+# Assigned calling codes of countries.
+CALLING = re.compile(r"(?:2[1-69]|3[578]|42|5[09]|6[789]|8[058]|9[679])\d|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|1|7")
 ISSUED = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7]|35|6[0245])\d{14}|3[47]\d{13}|3[0689]\d{12}|6[2-7]\d{14,17}|5[06-8]\d{12,17}")
 
 
 @dataclass(frozen=True)
 class PiiParams:
-    key: bytes = b"cloneweave-pseudonyms"
+    """``key``: up to 64 secret bytes; equal keys give equal pseudonyms."""
+
+    key: bytes
     rounds: int = 8
 
+    def __post_init__(self):
+        if not 1 <= len(self.key) <= 64:
+            raise ValueError("a key of 1 to 64 bytes is needed")
+
 
 class Permutation:
     """Keyed permutation of 0..size-1 without fixed points (size > 1)."""
@@ -221,21 +241,48 @@ def address(m: re.Match, p: PiiParams) -> str | None:
 
 def email(m: re.Match, p: PiiParams) -> str:
     labels = m[2].split(".")
-    keep = min(2, len(labels) - 1) if len(labels) > 2 else 1
+    keep = 2 if len(labels) > 2 and len(labels[-1]) == 2 and labels[-2].lower() in SECOND_LEVEL else 1
     text = m[1] + "@" + ".".join(labels[:-keep])
     return permuted(text, "email", p) + "." + ".".join(labels[-keep:])
 
 
-def phone(m: re.Match, p: PiiParams) -> str:
+def phone(m: re.Match, p: PiiParams) -> str | None:
+    digits = re.sub(r"\D", "", m[0])
+    if len(set(re.sub(r"\D", "", m[2]))) == 1 or len(digits) > 15 or m[1] and not CALLING.fullmatch(re.sub(r"\D", "", m[1])):
+        return None
     return (m[1] or "") + permuted(m[2], "phone", p)
 
 
+def international(m: re.Match, p: PiiParams) -> str | None:
+    """The country code stays; 7 to 15 digits in all, that of the longest code first."""
+    digits = re.sub(r"\D", "", m[0])
+    code = CALLING.match(digits)
+    if not code or not 7 <= len(digits) <= 15 or len(set(digits[code.end() :])) == 1:
+        return None
+    at = [i for i, c in enumerate(m[0]) if c.isdigit()][code.end()]
+    return m[0][:at] + permuted(m[0][at:], "phone", p)
+
+
+def international_parts(m: re.Match) -> list[tuple[int, int]]:
+    """Spans from the plus sign to ends of digit groups, longest first."""
+    return [(m.start(), m.start() + g.end()) for g in re.finditer(r"\d+", m[0])][::-1]
+
+
 def secret(m: re.Match, p: PiiParams) -> str | None:
-    if len(m[2]) < 8 or not any(c.isdigit() for c in m[2]):
+    v = m[2]
+    plain = not any(c.isdigit() for c in v)
+    if len(v) < 8 or plain and (len(set(v)) < 8 or len(v) < 20 and not re.search("[a-z][A-Z]", v)):
         return None
     return m[1] + permuted(m[2], "secret", p)
 
 
+@lru_cache(maxsize=4)
+def _days(wide_month: bool, wide_day: bool) -> list[int]:
+    """The days whose month and day have two digits, or one."""
+    every = map(date.fromordinal, range(FIRST_DAY, LAST_DAY + 1))
+    return [x.toordinal() for x in every if (x.month > 9) == wide_month and (x.day > 9) == wide_day]
+
+
 def _day(y: int, m: int, d: int, p: PiiParams) -> date | None:
     try:
         day = date(y, m, d).toordinal()
@@ -243,12 +290,17 @@ def _day(y: int, m: int, d: int, p: PiiParams) -> date | None:
         return None
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
-    return date.fromordinal(FIRST_DAY + permutation(p.key, "date", LAST_DAY - FIRST_DAY + 1, p.rounds)(day - FIRST_DAY))
+    days = _days(m > 9, d > 9)
+    return date.fromordinal(days[permutation(p.key, f"date {m > 9} {d > 9}", len(days), p.rounds)(bisect_left(days, day))])
+
+
+def _like(n: int, old: str) -> str:
+    return str(n).zfill(len(old))
 
 
 def iso_date(m: re.Match, p: PiiParams) -> str | None:
     new = _day(int(m[1]), int(m[3]), int(m[4]), p)
-    return new and f"{new.year}{m[2]}{new.month:02d}{m[2]}{new.day:02d}"
+    return new and f"{new.year}{m[2]}{_like(new.month, m[3])}{m[2]}{_like(new.day, m[4])}"
 
 
 def short_date(m: re.Match, p: PiiParams) -> str | None:
@@ -256,9 +308,9 @@ def short_date(m: re.Match, p: PiiParams) -> str | None:
     a, b, y = int(m[1]), int(m[3]), int(m[4])
     new = _day(y, b, a, p)
     if new:
-        return f"{new.day:02d}{m[2]}{new.month:02d}{m[2]}{new.year}"
+        return f"{_like(new.day, m[1])}{m[2]}{_like(new.month, m[3])}{m[2]}{new.year}"
     new = _day(y, a, b, p)
-    return new and f"{new.month:02d}{m[2]}{new.day:02d}{m[2]}{new.year}"
+    return new and f"{_like(new.month, m[1])}{m[2]}{_like(new.day, m[3])}{m[2]}{new.year}"
 
 
 def named_date(m: re.Match, p: PiiParams) -> str | None:
@@ -267,7 +319,7 @@ def named_date(m: re.Match, p: PiiParams) -> str | None:
     if not new:
         return None
     name = MONTHS[new.month - 1]
-    return f"{new.day} {name} {new.year}" if m[1] else f"{name} {new.day}, {new.year}"
+    return f"{_like(new.day, day)} {name} {new.year}" if m[1] else f"{name} {_like(new.day, day)}, {new.year}"
 
 
 _NAMES = "|".join(MONTHS)
@@ -276,7 +328,7 @@ _IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}))")
 _ALL = re.compile(r"(?s:.+)")
 #: (kind, pattern, pseudonym of a match or None if it isn't valid, spans of a match to try); earlier kinds take a stretch of text first.
 KINDS: list[tuple[str, re.Pattern, Callable[[re.Match, PiiParams], str | None], Callable[[re.Match], Iterable[tuple[int, int]]]]] = [
-    ("email", re.compile(r"(?<![\w.+-])([\w.%+-]{1,64})@((?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24})"), email, whole),
+    ("email", re.compile(r"(?<![\w.%+-])([\w.%+-]++)@((?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})"), email, whole),
     ("secret", re.compile(r"""((?i:(?:token|password|passwd|secret|api[_-]?key)\b)\s{0,3}[=:]\s{0,3}["']?)([A-Za-z0-9_+/-]+(?:\.+[A-Za-z0-9_+/-]+)*)"""), secret, whole),
     ("iban", _IBAN, iban, national_parts),
     ("iban", _IBAN, iban, iban_parts),
@@ -287,7 +339,8 @@ KINDS: list[tuple[str, re.Pattern, Callable[[re.Match, PiiParams], str | None],
     ("ssn", re.compile(r"(?<![\d-])(\d{3})-(\d{2})-(\d{4})(?![\d-])"), ssn, whole),
     ("card", _DIGITS, card, issued_parts),
     ("card", re.compile(r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)"), card, whole),
-    ("phone", re.compile(r"(?<![\w.])(\+\d{1,3}[ .-]?)?(\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\d-])"), phone, whole),
+    ("phone", re.compile(r"(?<![\w.+])(\+\d{1,3}[ .-]?)?(\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\d-])"), phone, whole),
+    ("phone", re.compile(r"(?<![\w.+])\+[1-9]\d{0,14}+(?:[ .-]?\(?\d+\)?)*+"), international, international_parts),
     ("card", _DIGITS, card, card_parts),  # after phones: one in ten of any digits has a valid check digit
 ]
 
@@ -317,12 +370,13 @@ def pseudonymised(text: str, p: PiiParams) -> tuple[str, list[tuple[str, int, in
     return "".join([*out, text[at:]]), [(kind, a, b - a, new) for a, b, kind, new in found]
 
 
-def pseudonymise(documents: DataFrame, params: PiiParams | None = None, text_col: str = "text") -> DataFrame:
+def pseudonymise(documents: DataFrame, params: PiiParams, text_col: str = "text") -> DataFrame:
     """All columns, the text replaced, with n_found and findings beside them.
 
-    Texts without a digit or an at sign can hold no value; they don't leave the JVM.
+    Texts without a digit, an at sign, = or : can hold no value; they don't leave the JVM.
     """
-    p = params or PiiParams()
+    p = params
+    documents = documents.drop("n_found", "findings", "_pii")
     kind = T.StructType([T.StructField("text", T.StringType()), T.StructField("found", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("length", T.IntegerType()), T.StructField("replacement", T.StringType())])))])
     item = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("length", pa.int32()), ("replacement", pa.string())])
 

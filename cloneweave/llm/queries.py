@@ -69,9 +69,17 @@ def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+OP5_KEY = "spark.cloneweave.pii.key"
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text with pseudonyms, and where they stand."""
-    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every text with pseudonyms, and where they stand.
+
+    The secret key is the session's ``spark.cloneweave.pii.key``; only where
+    none is set, as in tests, a public one serves, whose pseudonyms anyone can undo.
+    """
+    key = spark.conf.get(OP5_KEY, None) or "public key for tests"
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.PiiParams(key=key.encode()))
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -355,7 +355,7 @@ def test_chat_odd(spark):
     assert chat.digest(chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 
-P = pii.PiiParams()
+P = pii.PiiParams(key=b"a key of tests")
 
 
 @pytest.mark.parametrize("size", [2, 3, 10, 1000, 4097])
@@ -424,12 +424,40 @@ def test_whole_secrets(name, value):
 
 def test_pii_odd(spark):
     d = docs(spark, [*ODD, (30, "mail a.b1@x.example.org now")])
-    got = pii.pseudonymise(d)
+    got = pii.pseudonymise(d.withColumn("findings", F.lit(1)), P)
     assert set(d.columns) < set(got.columns)
     rows = got.collect()
     assert {r["doc_id"] for r in rows if r["n_found"]} == {30} and len(rows) == len(ODD) + 1
     assert all(r["text"] == dict(ODD)[r["doc_id"]] for r in rows if r["doc_id"] != 30)
-    assert pii.pseudonymise(docs(spark, [])).count() == 0
+    assert pii.pseudonymise(docs(spark, []), P).count() == 0
+
+
+@pytest.mark.parametrize("value,kind", [("x" * 70 + "@mail.acme.com", "email"), ("Ann@acme.co.uk", "email"), ("+44 20 7946 0958", "phone"), ("+49 (89) 123456", "phone"), ("2023-2-8", "date"), ("8.2.2023", "date"), ("08 March 2021", "date"), ("token=correctHorseBatteryStaple", "secret"), ("password: correct-horse-battery-staple", "secret"), ("(017) 555-7713", "phone")])
+def test_whole_values(value, kind):
+    new, found = pii.pseudonymised(f"See {value}, so.", P)
+    assert [(f[0], f[1], f[2]) for f in found] == [(kind, 4, len(value))] and new[4:-5] == found[0][3] != value
+    assert "acme" not in new and "horse" not in new.lower() and (kind == "date" or len(found[0][3]) == len(value))
+    assert kind != "date" or "March" in value or [len(x) for x in re.split("[-.]", found[0][3])] == [len(x) for x in re.split("[-.]", value)]
+
+
+def test_dates_are_linked_and_wide_as_they_were():
+    a, b, c = (re.split(r"\D", pii.pseudonymised(x, P)[0]) for x in ("2023-2-8", "08/02/2023", "2023.02.08"))
+    assert list(map(int, a)) == list(map(int, c)) == list(map(int, b[::-1])) and len(c[1]) == 2
+    for clean in ("password: required", "secret: nothing", "+999 123 4567", "+44 00 0000 0000", "+12", "token: aaaaaaaaaaaaaaaaaaaaaaaaaa"):
+        assert pii.pseudonymised(clean, P) == (clean, [])
+    with pytest.raises(TypeError):
+        pii.PiiParams()
+
+
+def test_pii_query_is_the_plain_way(spark, tmp_path):
+    values = ["ann.b1@x.example.org", "+1 (017) 555-7713", "4539 1488 0343 6467", "97.51.17.173", "password=e3b3ed3cc8548923d6", "GB82 WEST 1234 5698 7654 32", "2023-02-28"]
+    rows = [*ODD, *[(100 + i, f"some words {values[i % 7]} and {values[i * 3 % 7]} more {i}") for i in range(60)]]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set(queries.OP5_KEY, "k")
+    got = [(r["doc_id"], r["text"], [tuple(f) for f in r["findings"]]) for r in queries.op5_pii(spark, str(tmp_path)).collect()]
+    spark.conf.unset(queries.OP5_KEY)
+    want = [(i, *(pii.pseudonymised(t, pii.PiiParams(key=b"k")) if t is not None else (None, []))) for i, t in rows]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 def test_quality_odd(spark):
