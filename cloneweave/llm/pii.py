@@ -53,7 +53,7 @@ IBAN_LENGTHS = {c: int(n) for n, some in (x.split(":") for x in (
 ).split("|")) for c in some.split()}
 SECOND_LEVEL = {"ac", "co", "com", "edu", "gov", "net", "or", "org"}  # below a country's domain
 # Assigned calling codes of countries.
-CALLING = re.compile(r"(?:2[1-69]|3[578]|42|5[09]|6[789]|8[058]|9[679])\d|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|1|7")
+CALLING = re.compile(r"21[12368]|2[2-69]\d|3[578]\d|42[013]|5[09]\d|6[78]\d|69[0-2]|80[08]|8[578]\d|9[67]\d|99[2-68]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|1|7")
 ISSUED = re.compile(r"4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]|2[2-7]|35|6[0245])\d{14}|3[47]\d{13}|3[0689]\d{12}|6[2-7]\d{14,17}|5[06-8]\d{12,17}")
 
 
