@@ -15,6 +15,8 @@ an empty one has one token; an empty table gives an empty index.
 
 from __future__ import annotations
 
+import io
+import json
 import zlib
 from dataclasses import dataclass
 
@@ -28,6 +30,15 @@ from cloneweave.llm import blobs
 from cloneweave.llm.common import fresh_path, staged
 
 _known: dict[str, tuple] = {}
+# The normalizer and the splitter of a tokenizer whose texts may be encoded word by word.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 @dataclass(frozen=True)
@@ -67,8 +78,10 @@ class Encoder:
 
     White space always ends a token of the tokenizer's splitter and leaves
     none, so a text's ids are its words' ids in order.  A letter before a final
-    full stop or comma ends a token too.  Texts that may hold a special token's
-    string are encoded whole.  ``whole`` is the plain way, for tests.
+    full stop or comma ends a token too.  Texts that hold a special token's
+    string, in small letters or capitals, are encoded whole, and so are all
+    texts where the tokenizer's normalizer or splitter is another than these.
+    ``whole`` is the plain way, for tests.
     """
 
     def __init__(self, path: str, p: TokenParams):
@@ -77,7 +90,10 @@ class Encoder:
         self.tokenizer, self.p, self.cache = Tokenizer.from_file(path), p, {}
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.by_word = spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == SPLITTER and spec["model"].get("type") == "BPE"
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
@@ -104,10 +120,11 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if any(x in text for x in self.special):
+            low = text.encode().lower() if self.by_word else b""
+            if not self.by_word or any(x in low for x in self.special):
                 out[i] = self.whole(text)
             else:
-                wait.append((i, text.encode().lower().split()))
+                wait.append((i, low.split()))
             if len(wait) == 512:
                 self._join(wait, out)
                 wait = []
@@ -186,16 +203,16 @@ def read_records(index: DataFrame, params: TokenParams) -> DataFrame:
             for r in b.to_pylist():
                 system, path = blobs.opened(r["file"])
                 rows, start = [], r["base"] + r["before"]
-                with system.open_input_file(path) as f:
+                with system.open_input_file(path) as f:  # one request a range, of read_bytes and a record at most
                     f.seek(r["begin"])
-                    while f.tell() < r["end"]:
-                        data = unframe(f.read)
-                        ids = np.frombuffer(data, dtype=f"<u{data[9]}", offset=10)
-                        rows.append((None if data[0] else int.from_bytes(data[1:9], "little", signed=True), start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                        start += len(ids)
-                        if len(rows) == 4096:
-                            yield _table(rows)
-                            rows = []
+                    block = io.BytesIO(f.read(r["end"] - r["begin"]))
+                while (data := unframe(block.read)) is not None:
+                    ids = np.frombuffer(data, dtype=f"<u{data[9]}", offset=10)
+                    rows.append((None if data[0] else int.from_bytes(data[1:9], "little", signed=True), start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    start += len(ids)
+                    if len(rows) == 4096:
+                        yield _table(rows)
+                        rows = []
                 if rows:
                     yield _table(rows)
 
