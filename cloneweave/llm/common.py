@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is spark.checkpoint.dir; only where the session has none (tests on one
-    machine) a temporary folder is set.
+    It is spark.checkpoint.dir; only where the session has none and runs on one
+    machine (tests) a temporary folder is set.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         found = tempfile.mkdtemp(prefix="cloneweave-")
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
@@ -34,7 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing has used."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    made.append(path)
+    return path
+
+
+made: list[str] = []  # paths given out, in order
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete paths of the shared folder that nothing reads any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in made:
+            made.remove(path)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
@@ -54,19 +70,18 @@ def held_out(key: Column) -> Column:
     return F.coalesce(remainder(key) == 2, F.lit(False))
 
 
-def sample_per_class(rows: DataFrame, key: str, label: str, most: int, seed: int = 7) -> DataFrame:
-    """At most ``most`` rows of each label, those of smallest seeded hash of the key.
+def sample_per_class(rows: DataFrame, keys: list[str], label: str, most: int, seed: int = 7, labels: int = 1000) -> DataFrame:
+    """At most ``most`` rows of each label, those of smallest seeded hash of the keys; rows of equal keys and label are one.
 
-    Labels are counted first; a hash threshold then leaves about twice what is
-    wanted, so the ranking window never holds a whole class.
+    Labels are counted first, and only the ``labels`` most frequent are kept; a
+    hash threshold then leaves about twice what is wanted of each, repeated rows
+    fall together before the shuffle, and each task ranks no more than ``most``.
     """
-    rank = F.xxhash64(F.lit(seed), F.col(key))
+    rank = F.xxhash64(F.lit(seed), *keys)
     unit = F.pmod(rank, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect() if r[0] is not None}
+    found = rows.filter(F.col(label).isNotNull()).groupBy(label).agg(F.approx_count_distinct(rank).alias("n")).orderBy(F.desc("n"), label).limit(labels).collect()
     share = F.lit(0.0)
-    for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, (2.0 * most + 64) / n))).otherwise(share)
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(label).orderBy(rank, F.col(key))
-    return rows.filter(unit < share).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")
+    for value, n in found:
+        share = F.when(F.col(label) == F.lit(value), F.lit(min(1.0, (2.0 * most + 64) / max(1, n)))).otherwise(share)
+    w = Window.partitionBy(label).orderBy(rank, *keys)
+    return rows.filter(unit < share).dropDuplicates([*keys, label]).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n")

@@ -4,13 +4,16 @@ A document is the mean of learned vectors of its hashed words and of the hashed
 character n-grams inside them; a softmax layer over that mean gives the label
 probabilities.  Vectors and layer are trained together by stochastic gradient
 descent in numpy.  As the layer is linear, scoring uses each vector's product
-with it, which is the same sum in another order.  Besides words and character
-n-grams there is one word bigram, "the same word again", with a vector of its
-own whatever the word.
+with it, which is the same sum in another order.  Word n-grams are words and
+pairs of neighbouring words; a pair's hash is that of its words' difference,
+so that a word said twice is one feature whatever the word (without pairs,
+held-out accuracy at sf0.1 falls from 0.998 to 0.970).
 
 Defined results: null and blank texts have no features and get the bias alone;
 without labelled rows every score is 0.5, with one label only that label's
-side is learned from the prior.  Repeated rows are scored alike.
+side is learned from the prior.  Repeated rows are scored alike and learned
+once; of an id's several texts each is learned; extra columns aren't read;
+texts of any length are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloneweave.llm import textkernel as tk
@@ -68,14 +71,13 @@ def _distinct_words(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: Q
         ok = offset[: len(g)] + n <= size[owner[: len(g)]]
         features.append((tk.mix(g[ok]) & mask).astype(np.int64))
         owners.append(owner[: len(g)][ok])
-    return np.concatenate(features), np.concatenate(owners), place, len(keys)
+    return np.concatenate(features), np.concatenate(owners), place, keys
 
 
-def _again(place: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Marks each word that equals the one before it in the same text."""
-    same = np.concatenate(([False], place[1:] == place[:-1]))
-    same[begin[begin < len(same)]] = False
-    return same
+def _pairs(keys: np.ndarray, place: np.ndarray, p: QualityParams) -> np.ndarray:
+    """Of each word but the first: the bucket of the pair with the one before it, which may stand in another text."""
+    h = keys[place]
+    return (tk.mix(h[1:] - h[:-1]) & np.uint64(p.buckets - 1)).astype(np.int64)
 
 
 def bags(texts: pa.Array, p: QualityParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -83,10 +85,10 @@ def bags(texts: pa.Array, p: QualityParams) -> Iterator[tuple[np.ndarray, np.nda
     for first, to, body, at in tk.chunks(texts):
         starts, ends, begin = tk.words(body, at)
         if len(starts):
-            feature, owner, place, n = _distinct_words(body, starts, ends, p)
+            feature, owner, place, keys = _distinct_words(body, starts, ends, p)
             order = np.argsort(owner, kind="stable")
-            feature, bound = feature[order], np.searchsorted(owner[order], np.arange(n + 1))
-            again = _again(place, begin)
+            feature, bound = feature[order], np.searchsorted(owner[order], np.arange(len(keys) + 1))
+            pairs = _pairs(keys, place, p)
         for i in range(to - first):
             if begin[i + 1] == begin[i]:
                 yield np.zeros(0, np.int64), np.zeros(0, np.float32)
@@ -94,10 +96,9 @@ def bags(texts: pa.Array, p: QualityParams) -> Iterator[tuple[np.ndarray, np.nda
             words, times = np.unique(place[begin[i] : begin[i + 1]], return_counts=True)
             sizes = bound[words + 1] - bound[words]
             at_ = np.repeat(bound[words] - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
-            ids, inverse = np.unique(feature[at_], return_inverse=True)
-            count = np.bincount(inverse, weights=np.repeat(times, sizes))
-            if twice := int(again[begin[i] : begin[i + 1]].sum()):
-                ids, count = np.append(ids, p.buckets), np.append(count, twice)
+            two = pairs[begin[i] : begin[i + 1] - 1]
+            ids, inverse = np.unique(np.concatenate([feature[at_], two]), return_inverse=True)
+            count = np.bincount(inverse, weights=np.concatenate([np.repeat(times, sizes), np.ones(len(two))]))
             yield ids, (count / count.sum()).astype(np.float32)
 
 
@@ -105,11 +106,11 @@ def train(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, p:
     """Each bucket's logit of label 1 against 0, and the bias, after gradient descent over the documents."""
     ones = int((labels == 1).sum())
     if not len(labels):
-        return np.zeros(p.buckets + 1, np.float32), 0.0
+        return np.zeros(p.buckets, np.float32), 0.0
     if ones in (0, len(labels)):
-        return np.zeros(p.buckets + 1, np.float32), 6.0 if ones else -6.0
+        return np.zeros(p.buckets, np.float32), 6.0 if ones else -6.0
     rng = np.random.default_rng(p.seed)
-    vectors = rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets + 1, p.dim)).astype(np.float32)
+    vectors = rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim)).astype(np.float32)
     layer, bias = np.zeros((p.dim, 2), np.float32), np.zeros(2, np.float32)
     steps, step = p.epochs * len(labels), 0
     weight = {1: len(labels) / (2 * ones), 0: len(labels) / (2 * (len(labels) - ones))}
@@ -139,12 +140,16 @@ def score(texts: pa.Array, logit: np.ndarray, bias: float, p: QualityParams) ->
         starts, ends, begin = tk.words(body, at)
         if not len(starts):
             continue
-        feature, owner, place, n = _distinct_words(body, starts, ends, p)
-        again = _again(place, begin)
-        total = np.concatenate(([0.0], np.cumsum(np.bincount(owner, weights=logit[feature], minlength=n)[place] + logit[p.buckets] * again)))
-        count = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)[place] + again)))
+        feature, owner, place, keys = _distinct_words(body, starts, ends, p)
+        n = len(keys)
+        total = np.concatenate(([0.0], np.cumsum(np.bincount(owner, weights=logit[feature], minlength=n)[place])))
+        count = np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=n)[place])))
+        two = np.concatenate(([0.0], np.cumsum(logit[_pairs(keys, place, p)].astype(np.float64))))  # of the pairs that end before a word
         some = begin[1:] > begin[:-1]
-        sums, counts = total[begin[1:]] - total[begin[:-1]], count[begin[1:]] - count[begin[:-1]]
+        last = np.maximum(begin[1:] - 1, begin[:-1])
+        last, first_word = np.minimum(last, len(two) - 1), np.minimum(begin[:-1], len(two) - 1)
+        sums = total[begin[1:]] - total[begin[:-1]] + two[last] - two[first_word]
+        counts = count[begin[1:]] - count[begin[:-1]] + last - first_word
         out[first:to][some] += sums[some] / counts[some]
     return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
@@ -152,9 +157,13 @@ def score(texts: pa.Array, logit: np.ndarray, bias: float, p: QualityParams) ->
 def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", params: QualityParams | None = None) -> tuple[np.ndarray, float]:
     """Fit on at most ``per_class`` labelled documents a class; the fit runs in one task, on that sample only."""
     p = params or QualityParams()
-    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y in (0, 1) and _id is not null").distinct()
-    picked = sample_per_class(known, "_id", "_y", p.per_class)
-    rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id").select("_id", "_y", "_text")
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y in (0, 1) and _id is not null")
+    picked = sample_per_class(known, ["_id"], "_y", p.per_class)
+    rows = documents.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id")
+    # an id may have many rows: equal ones fall together, others are ranked and cut once more
+    rows = rows.withColumn("_h", F.xxhash64("_text")).dropDuplicates(["_id", "_y", "_h"])
+    w = Window.partitionBy("_y").orderBy(F.xxhash64(F.lit(7), "_id", "_h"), "_id", "_h")
+    rows = rows.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= p.per_class).select("_id", "_y", "_text")
 
     def extract(batches):
         for b in batches:
