@@ -24,9 +24,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pages as ARC files, converted to WARC files, read back."""
     folder = warc.to_warc(spark, warc.write_arc(table(spark, sf_dir, "pages"), "page_id", "url", "html"))
     got = warc.warc_records(warc.files(spark, folder))
-    ids = got.filter("record_type = 'response' and key is not null").select(F.col("record_id").alias("_id"), F.col("key").cast("long").alias("refers_to")).distinct()
-    out = got.join(ids, F.col("refers_id") == F.col("_id"), "left")
-    return out.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return got.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_key").cast("long").alias("refers_to"))
 
 
 OP2_SQL = """

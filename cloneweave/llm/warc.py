@@ -15,7 +15,12 @@ separator.  Readers stream files through gzip and hold one record at a time.
 Defined results: a null payload is empty; a null key is written empty and read
 as null, and such a record revisits the smallest key of its payload if there
 is one; rows that repeat the smallest key of a payload are all responses; a
-null URL is ``urn:unknown``.
+null URL is ``urn:unknown``; extra columns aren't read; payloads may have any
+length; an empty table gives no records.
+
+A payload that very many records share is not joined by a shuffle: payloads of
+more than 1/65,536 of all records, and of 65,536 at least, are fewer than 65,536
+and are broadcast.  Short payloads, which need no join, are spread.
 """
 
 from __future__ import annotations
@@ -32,9 +37,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloneweave.llm import blobs
-from cloneweave.llm.common import fresh_path
+from cloneweave.llm.common import fresh_path, staged
 
 KEY = "X-Record-Key"
+FIRST = "X-Refers-To-Key"
 FIELDS = {1: 5, 2: 10}
 NAMES = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 SPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:archive-record")
@@ -46,6 +52,8 @@ class WarcParams:
     date: str = "20240101000000"
     least: int = 100  # bytes of a payload that can be revisited
     batch_bytes: int = 4 << 20
+    hot: int = 1 << 16  # records of a payload, and payloads that are broadcast, at most
+    records: int = 100_000  # of a WARC file at most
 
 
 def http_block(key: str, payload: bytes) -> bytes:
@@ -164,8 +172,15 @@ def to_warc(spark: SparkSession, arc_folder: str, params: WarcParams | None = No
     paths = files(spark, arc_folder)
     number = F.expr("try_cast(key as bigint)")
     first = F.min(F.when(F.col("key").isNotNull(), F.struct(number, F.col("key")))).alias("first")
-    twins = arc_records(paths, p, False).filter(F.col("size") >= p.least).groupBy(F.col("digest").alias("_digest")).agg(first, F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_digest", F.col("first.key").alias("refers"))
-    rows = arc_records(paths, p).join(twins, (F.col("digest") == F.col("_digest")) & (F.col("size") >= p.least), "left")
+    twins = arc_records(paths, p, False).filter(F.col("size") >= p.least).groupBy(F.col("digest").alias("_digest")).agg(first, F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    twins = staged(twins.select("_digest", F.col("first.key").alias("refers"), "_n"), "twins")
+    most = max(p.hot, int(twins.agg(F.sum("_n")).first()[0] or 0) // p.hot)
+    often, others = (twins.filter(x).drop("_n") for x in (F.col("_n") > most, F.col("_n") <= most))
+    often = often.withColumnsRenamed({"_digest": "_often", "refers": "_first"})  # fewer than ``hot`` rows
+    rows = arc_records(paths, p).join(F.broadcast(often), (F.col("digest") == F.col("_often")) & (F.col("size") >= p.least), "left")
+    spread = F.concat(F.lit("-"), F.pmod(F.xxhash64("key", "url", "digest"), F.lit(1 << 20)))  # is no digest
+    rows = rows.withColumn("_at", F.when(F.col("_often").isNull() & (F.col("size") >= p.least), F.col("digest")).otherwise(spread))
+    rows = rows.join(others, F.col("_at") == F.col("_digest"), "left").withColumn("refers", F.coalesce("_first", "refers"))
     folder = fresh_path(spark, "warc")
 
     def build(batches):
@@ -182,11 +197,11 @@ def to_warc(spark: SparkSession, arc_folder: str, params: WarcParams | None = No
                 fields = [("WARC-Target-URI", r["url"]), ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", "sha256:" + r["digest"])]
                 if again:
                     block = block[: len(block) - len(r["payload"])]
-                    fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(r["refers"], r["digest"]))]
+                    fields += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", record_id(r["refers"], r["digest"])), (FIRST, r["refers"])]
                 out.append(warc_record("revisit" if again else "response", record_id(r["key"], r["digest"]), r["date"], fields, block))
             yield pa.record_batch([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
 
-    rows.select("key", "url", "date", "digest", "payload", "refers").mapInArrow(build, "value string").write.option("compression", "gzip").text(folder)
+    rows.select("key", "url", "date", "digest", "payload", "refers").mapInArrow(build, "value string").write.option("compression", "gzip").option("maxRecordsPerFile", p.records).text(folder)
     return folder
 
 
@@ -207,8 +222,8 @@ def parse_warc(read, line) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def warc_records(paths: DataFrame) -> DataFrame:
-    """key, record_type, payload_bytes, payload_digest, record_id, refers_id of every response and revisit."""
-    kinds = {"key": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_id": pa.string(), "refers_id": pa.string()}
+    """key, record_type, payload_bytes, payload_digest, record_id, refers_id, refers_key of every response and revisit."""
+    kinds = {"key": pa.string(), "record_type": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_id": pa.string(), "refers_id": pa.string(), "refers_key": pa.string()}
 
     def run(batches):
         for b in batches:
@@ -222,7 +237,7 @@ def warc_records(paths: DataFrame) -> DataFrame:
                         digest = head["WARC-Payload-Digest"].partition(":")[2]
                         if head["WARC-Type"] == "response" and hashlib.sha256(payload).hexdigest() != digest:
                             raise ValueError("a payload doesn't have its digest")
-                        rows.append((http.get(KEY) or None, head["WARC-Type"], int(http["Content-Length"]), digest, head["WARC-Record-ID"], head.get("WARC-Refers-To")))
+                        rows.append((http.get(KEY) or None, head["WARC-Type"], int(http["Content-Length"]), digest, head["WARC-Record-ID"], head.get("WARC-Refers-To"), head.get(FIRST)))
                         if len(rows) == 4096:
                             yield _batch(rows, kinds)
                             rows = []
