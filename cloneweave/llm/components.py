@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloneweave.llm.common import staged
+from cloneweave.llm.common import discard, made, staged
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -34,7 +34,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now = staged(edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).filter("a <> b and a is not null and b is not null").distinct(), "edges")
     mark = tuple(now.agg(F.count(F.lit(1)), spot).first())
     while mark[0]:
+        before = made[-1]
         now = staged(_small(_large(now)), "edges")
+        discard(now.sparkSession, [before])
         new = tuple(now.agg(F.count(F.lit(1)), spot).first())
         if new == mark:
             break

@@ -13,7 +13,11 @@ An image is a PNG of 8-bit grey samples, 64 a row, and a text chunk with the
 payload's length before padding, so the same bytes give the same file.
 
 Defined results: a null text is empty; an empty payload is one row of zeros;
-a null id stays null; repeated rows are separate members with equal media.
+a null id stays null; repeated rows are separate members with equal media; an
+empty table gives no members; extra columns aren't read.  A member whose image
+is damaged gives a row of nulls but for its id, the stored form's size and
+digest, and ``damaged`` with the reason as its feature.  A range is read into
+memory at once, so a task holds ``rangeBytes`` and one member more.
 """
 
 from __future__ import annotations
@@ -99,7 +103,7 @@ def tar_header(name: str, size: int) -> bytes:
 def tar_size(head: bytes) -> tuple[str, int]:
     """Name and size of a member from its header; raises if the header's sum doesn't hold."""
     total = sum(head) - sum(head[148:156]) + 8 * 32
-    if len(head) < BLOCK or int(head[148:154], 8) != total:
+    if len(head) < BLOCK or not head[148:154].isdigit() or int(head[148:154], 8) != total:
         raise ValueError("not a member header")
     field = head[124:136]
     size = int.from_bytes(field[1:], "big") if field[0] == 0x80 else int(field.rstrip(b"\x00 "), 8)
@@ -142,8 +146,8 @@ def write_archives(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 class ByteRange(InputPartition):
-    def __init__(self, archive: str, begin: int, end: int):
-        self.archive, self.begin, self.end = archive, begin, end
+    def __init__(self, archive: str, begin: int, end: int, size: int):
+        self.archive, self.begin, self.end, self.size = archive, begin, end, size
 
 
 class ArchiveMembers(DataSource):
@@ -169,7 +173,7 @@ class ArchiveReader(DataSourceReader):
         system, path = blobs.opened(f"{self.path}/{MANIFEST}")
         with system.open_input_stream(path) as f:
             entries = json.loads(f.read())
-        return [ByteRange(e["archive"], a, min(a + self.range_bytes, e["bytes"])) for e in entries for a in range(0, e["bytes"], self.range_bytes)]
+        return [ByteRange(e["archive"], a, min(a + self.range_bytes, e["bytes"]), e["bytes"]) for e in entries for a in range(0, e["bytes"], self.range_bytes)]
 
     def read(self, part: ByteRange | None):
         if part is None:  # what Spark passes where there is no partition
@@ -177,10 +181,16 @@ class ArchiveReader(DataSourceReader):
         system, path = blobs.opened(part.archive)
         with system.open_input_stream(path + ".idx") as f:
             offsets = np.frombuffer(f.read(), dtype="<i8")
-        mine = offsets[np.searchsorted(offsets, part.begin) : np.searchsorted(offsets, part.end)]
+        first, last = np.searchsorted(offsets, part.begin), np.searchsorted(offsets, part.end)
+        mine = offsets[first:last]
+        if not len(mine):
+            return
+        after = int(offsets[last]) if last < len(offsets) else part.size
+        block = self.block(system, path, int(mine[0]), after)
         rows, size = [], 0
-        for at in mine:
-            rows.append((part.archive, int(at), *self.member(system, path, int(at))))
+        for at in map(int, mine):
+            found = self.within(block, at - int(mine[0]))
+            rows.append((part.archive, at, *(found or self.member(system, path, at))))
             size += len(rows[-1][3])
             if size >= self.batch_bytes:
                 yield _batch(rows)
@@ -188,6 +198,25 @@ class ArchiveReader(DataSourceReader):
         if rows:
             yield _batch(rows)
 
+    def block(self, system, path: str, begin: int, end: int) -> bytes:
+        """The bytes of a range of members; empty if they can't be read, so that each is tried alone."""
+        try:
+            with self.handle(system, path) as f:
+                f.seek(begin)
+                return f.read(end - begin)
+        except OSError:
+            return b""
+
+    @staticmethod
+    def within(block: bytes, at: int) -> tuple[str, bytes] | None:
+        """Name and content of a member in a block, None if it isn't there whole."""
+        try:
+            name, size = tar_size(block[at : at + BLOCK])
+        except ValueError:
+            return None
+        content = block[at + BLOCK : at + BLOCK + size]
+        return (name, content) if len(content) == size else None
+
     def member(self, system, path: str, at: int) -> tuple[str, bytes]:
         """Name and content of the member at an offset, tried again alone when reading or its header fails."""
         for left in range(self.retries, -1, -1):
@@ -228,8 +257,12 @@ def features(members: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for name, media in zip(b.column("member").to_pylist(), b.column("content").to_pylist()):
-                samples, n = decode_png(media)
                 key = name.rpartition(".")[0]
+                try:
+                    samples, n = decode_png(media)
+                except (ValueError, zlib.error) as e:
+                    rows.append((None if key == "null" else int(key), None, None, None, None, len(media), hashlib.sha256(media).hexdigest(), f"damaged: {e}"))
+                    continue
                 rows.append((None if key == "null" else int(key), n, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -10,9 +10,14 @@ into blocks; whole passes over the line come first, then the quota's rest
 takes blocks that follow each other in that order, so each document gives the
 words of it that taken blocks cover.
 
+A source whose target is less than half a block, so that no block is its, gets
+one block cut to its target.  The driver holds one row a source; quotas of
+shards are made in tasks, a source each.
+
 Defined results: null and blank texts have size 0 and give nothing; a null
-source is a source of its own and comes last; a null weight list entry does
-not exist; repeated rows are separate documents; an empty table gives no rows.
+source is a source of its own and comes last; repeated rows are separate
+documents; equal hashes stand by id, then size; an empty table gives no rows;
+extra columns aren't read; a document of any length is cut into blocks.
 """
 
 from __future__ import annotations
@@ -79,9 +84,10 @@ def sainte_lague(votes: np.ndarray, seats: int, most: np.ndarray | None = None)
         else:
             low = mid
     given = at(high)
-    while given.sum() < seats:
+    while (more := seats - int(given.sum())) > 0:  # equal quotients: one each, the first ones first
         quotient = np.where(given < most, votes / (2 * given + 1), -1.0)
-        given[int(quotient.argmax())] += 1
+        top = quotient.max()
+        given[np.flatnonzero(quotient == top)[:more]] += 1
     return given
 
 
@@ -90,8 +96,8 @@ def sized(documents: DataFrame, p: MixParams, id_col: str = "doc_id", text_col:
     return documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
 
 
-def plan(sized_rows: DataFrame, p: MixParams) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """One row a source (size, target, shards), one row a shard (size, quota): bounded by sources x ``shards``."""
+def plan(sized_rows: DataFrame, p: MixParams) -> pd.DataFrame:
+    """One row a source: size, target, shards, seats, most (words of a source without a block of its own)."""
     per = sized_rows.groupBy("source").agg(F.sum("size").alias("size")).toPandas()
     keys = [(s is None, (s or "").encode()) for s in per["source"].where(per["source"].notna(), None)]
     per = per.iloc[sorted(range(len(per)), key=keys.__getitem__)].reset_index(drop=True)
@@ -99,8 +105,12 @@ def plan(sized_rows: DataFrame, p: MixParams) -> tuple[pd.DataFrame, pd.DataFram
     weights = np.array([p.weights[i % len(p.weights)] for i in range(len(per))])
     per["target"] = targets(sizes, weights, p.total * sizes.sum(), p.most) if len(per) else np.zeros(0)
     per["shards"] = np.clip(np.ceil(sizes / p.shard_words), 1, p.shards).astype(np.int64)
+    seats = sainte_lague(per["target"].to_numpy(), int(round(per["target"].sum() / p.block)))
+    none = (seats == 0) & (per["target"].to_numpy() >= 0.5)
+    per["seats"] = np.where(none, 1, seats)
+    per["most"] = np.where(none, np.round(per["target"].to_numpy()).astype(np.int64), np.iinfo(np.int64).max)
     per["_s"] = np.arange(len(per))
-    return per, weights
+    return per
 
 
 def mix(documents: DataFrame, params: MixParams | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -108,25 +118,26 @@ def mix(documents: DataFrame, params: MixParams | None = None, id_col: str = "do
     p = params or MixParams()
     spark = documents.sparkSession
     rows = staged(sized(documents, p, id_col, text_col, source_col), "sizes")
-    per, _ = plan(rows, p)
-    kinds = "_s int, source string, source_size long, target double, shards long"
-    sources = spark.createDataFrame([(int(r["_s"]), None if pd.isna(r["source"]) else r["source"], int(r["size"]), float(r["target"]), int(r["shards"])) for _, r in per.iterrows()], kinds)
+    per = plan(rows, p)
+    kinds = "_s int, source string, source_size long, target double, shards long, _seats long, _most long"
+    sources = spark.createDataFrame([(int(r["_s"]), None if pd.isna(r["source"]) else r["source"], int(r["size"]), float(r["target"]), int(r["shards"]), int(r["seats"]), int(r["most"])) for _, r in per.iterrows()], kinds)
     spot = F.xxhash64(F.lit(p.seed), F.col("doc_id"))
     dealt = rows.withColumnRenamed("source", "_source").join(sources, F.col("_source").eqNullSafe(F.col("source"))).withColumn("_spot", spot).withColumn("_shard", F.pmod(F.xxhash64(F.lit(p.seed + 1), F.col("doc_id"), F.col("size")), F.col("shards")))
-    shard_sizes = dealt.groupBy("_s", "_shard").agg(F.sum("size").alias("shard_size")).toPandas().sort_values(["_s", "_shard"])
-    votes = shard_sizes["shard_size"].to_numpy(dtype=np.int64)
-    seats = sainte_lague(per["target"].to_numpy(), int(round(per["target"].sum() / p.block)))
-    quota = np.zeros(len(votes), dtype=np.int64)
-    owner = shard_sizes["_s"].to_numpy()
-    for s in range(len(per)):
-        mine = np.flatnonzero(owner == s)
+
+    def quota(shards: pd.DataFrame) -> pd.DataFrame:
+        """The quotas of a source's shards."""
+        shards = shards.sort_values("_shard")
+        votes = shards["shard_size"].to_numpy(dtype=np.int64)
         # a block over the end of the second pass is cut there
-        quota[mine] = sainte_lague(votes[mine], int(seats[s]), np.ceil(p.most * votes[mine] / p.block).astype(np.int64))
-    quotas = spark.createDataFrame([(int(a), int(b), int(v), int(q)) for a, b, v, q in zip(owner, shard_sizes["_shard"], votes, quota)], "_s int, _shard long, shard_size long, quota long")
+        shards["quota"] = sainte_lague(votes, int(shards["_seats"].iloc[0]), np.ceil(p.most * votes / p.block).astype(np.int64))
+        return shards[["_s", "_shard", "shard_size", "quota", "_most"]]
+
+    shards = dealt.groupBy("_s", "_shard", "_seats", "_most").agg(F.sum("size").alias("shard_size"))
+    quotas = staged(shards.groupBy("_s").applyInPandas(quota, "_s int, _shard long, shard_size long, quota long, _most long"), "quotas")
     w = Window.partitionBy("_s", "_shard").orderBy("_spot", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    words = F.least(F.col("quota") * p.block, (F.col("shard_size") * p.most).cast("long"))
+    words = F.least(F.col("quota") * p.block, (F.col("shard_size") * p.most).cast("long"), F.col("_most"))
     passes = F.floor(words / F.col("shard_size"))
     rest = words - passes * F.col("shard_size")
     part = F.greatest(F.lit(0), F.least(F.col("_end"), rest) - (F.col("_end") - F.col("size")))
-    out = dealt.withColumn("_end", F.sum("size").over(w)).join(quotas, ["_s", "_shard"])
+    out = dealt.drop("_most").withColumn("_end", F.sum("size").over(w)).join(quotas, ["_s", "_shard"])
     return out.select("doc_id", "size", "source_size", "target", F.when(F.col("size") == 0, F.lit(0)).otherwise(passes * F.col("size") + part).cast("long").alias("taken"))
