@@ -10,15 +10,26 @@ A document shorter than the item is one window.
 1. Hits: of each document, every ``stride``-th shingle is looked up among the
    items' shingles.  The stride is so small that a window of the required
    similarity has a hit whatever the document: it misses too few shingles.
-2. Every window over a hit gets a 64-bit SimHash of its weighted shingles.
-3. Multi-index Hamming blocks: fingerprints are cut into radius + 1 blocks;
-   two within the radius agree in a block, so equal blocks of windows and items
-   of the same size give all pairs within it.
-4. The exact weighted similarity of these pairs decides.
+   Only positions and hashes take part, no text.
+2. Hits of an item that a window could hold together are a run.  The texts of
+   documents with runs are read again, and a run keeps its shingles' hashes:
+   of as many as the run is long and two windows, whatever its number of hits.
+3. Every window of a run gets a 64-bit SimHash of its weighted shingles.
+4. Multi-index Hamming blocks: fingerprints are cut into radius + 1 blocks;
+   two within the radius agree in a block, so equal blocks of windows and of
+   the item of their run give all pairs within it.  A window meets no item of
+   which it holds no shingle.
+5. The exact weighted similarity of these pairs decides.
+
+At a similarity of 0.8 exactly, 2 in a million windows or fewer are past the
+radius of 24 bits (items of 27 shingles and more, all shingles different; at
+20 bits it was 1 to 3 in 10,000); ``radius=64`` lets none pass unseen.
 
 Defined results: null and blank texts hold nothing; items without words are
 ignored; equal items under several ids are each reported; rows that repeat an
-id give one row for each item; an empty table gives no rows.
+id give one row for each item; an empty table gives no rows; of equally
+similar windows the first counts; extra columns aren't read; texts and items
+may have any length.
 """
 
 from __future__ import annotations
@@ -36,8 +47,8 @@ from cloneweave.llm.common import staged
 class LeakParams:
     k: int = 5
     least: float = 0.8
-    radius: int = 20  # of 64; a similarity of 0.8 is at 9.7 on average, with a deviation of 2.9
-    broadcast_rows: int = 1 << 20  # of item shingles at most; beyond it the lookup is a shuffled join
+    radius: int = 24  # of 64; a similarity of 0.8 is at 9.7 on average, with a deviation of 2.9
+    broadcast_rows: int = 1 << 20  # of item shingles, or of runs, at most; beyond it the joins are shuffled
 
 
 def words(text: Column) -> Column:
@@ -95,14 +106,45 @@ def blocked(rows: DataFrame, radius: int) -> DataFrame:
 
 
 def _hits(documents: DataFrame, known: DataFrame, k: int, step: int, small: bool) -> DataFrame:
-    """Hits of k-word shingles, with the hashes of all shingles that windows over the hit can hold."""
+    """Hits of k-word shingles: where (p) which item's shingle stands, in a document of s shingles."""
     docs = documents.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("w")).withColumn("s", F.size("w") - k + 1).filter("s > 0")
     spots = F.transform(F.sequence(F.lit(0), F.floor((F.col("s") - 1) / step).cast("int")), lambda i: F.struct((i * step).alias("p"), hashed(F.col("w"), i * step, k).alias("h")))
-    found = docs.withColumn("x", F.explode(spots)).select("doc_id", "th", "w", "s", F.col("x.p").alias("p"), F.col("x.h").alias("h"))
-    found = found.join(F.broadcast(known) if small else known, "h")
-    base, last = F.greatest(F.lit(0), F.col("p") - F.col("m") + 1), F.least(F.col("s"), F.col("p") + F.col("m")) - 1
-    near = grams_of(F.col("w"), base, last, k)
-    return found.select("doc_id", "th", "m", "k", "s", "p", base.alias("base"), near.alias("near"))
+    found = docs.select("doc_id", "th", "s", F.explode(spots).alias("x")).select("doc_id", "th", "s", F.col("x.p").alias("p"), F.col("x.h").alias("h"))
+    return found.join(F.broadcast(known) if small else known, "h").select(*ITEM, "m", "k", "s", "p")
+
+
+ITEM = ["doc_id", "th", "item_id", "ih"]  # a document's text and an item
+RUN = [*ITEM, "low"]
+
+
+def _same(a: str, b: str, columns: list[str]) -> Column:
+    """Equality of the columns of two aliased tables, null with null."""
+    found = F.lit(True)
+    for c in columns:
+        found = found & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+    return found
+
+
+def _runs(hits: DataFrame) -> DataFrame:
+    """low, high: the first and the last window of hits less than a window apart."""
+    order = Window.partitionBy(*ITEM).orderBy("p")
+    cut = F.col("p") - F.lag("p").over(order) > F.col("m")
+    rows = hits.withColumn("_cut", F.coalesce(cut, F.lit(False)).cast("int")).withColumn("_run", F.sum("_cut").over(order))
+    runs = rows.groupBy(*ITEM, "m", "k", "s", "_run").agg(F.min("p").alias("first"), F.max("p").alias("last"))
+    low, high = F.greatest(F.lit(0), F.col("first") - F.col("m") + 1), F.least(F.col("last"), F.greatest(F.lit(0), F.col("s") - F.col("m")))
+    return runs.select(*ITEM, "m", "k", "s", low.alias("low"), high.alias("high")).filter("low <= high")
+
+
+def _with_grams(runs: DataFrame, documents: DataFrame, ks: list[int], small: bool) -> DataFrame:
+    """Runs with the hashes of the shingles from their first window's begin to their last one's end."""
+    docs = documents.withColumn("th", F.xxhash64("text")).alias("d")
+    some = (F.broadcast(runs) if small else runs).alias("r")
+    both = docs.join(some, _same("d", "r", ["doc_id", "th"])).select("r.*", words(F.col("d.text")).alias("w"))
+    last = F.least(F.col("s"), F.col("high") + F.col("m")) - 1
+    near = F.lit(None).cast("array<bigint>")
+    for k in ks:
+        near = F.when(F.col("k") == k, grams_of(F.col("w"), F.col("low"), last, k)).otherwise(near)
+    return both.select(*runs.columns, near.alias("near")).dropDuplicates(RUN)
 
 
 def leaks(documents: DataFrame, items: DataFrame, params: LeakParams | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -119,35 +161,28 @@ def leaks(documents: DataFrame, items: DataFrame, params: LeakParams | None = No
     whole = staged(whole, "items")
     grams = whole.select("item_id", "m", "k", "ih", F.explode("grams").alias("h"))
     sizes = grams.select("k", "m").distinct().collect()  # the items' lengths
-    known = grams.select("h", "m", "k").distinct()
+    known = grams.select("h", "m", "k", "item_id", "ih").distinct()
+    ks = sorted({r["k"] for r in sizes})
     hits = None
-    for k in sorted({r["k"] for r in sizes}):
+    for k in ks:
         mine = known.filter(F.col("k") == k)
         some = _hits(docs, mine, k, min(stride(r["m"], p.least) for r in sizes if r["k"] == k), mine.count() <= p.broadcast_rows)
         hits = some if hits is None else hits.union(some)
     if hits is None:
         return docs.join(bench.select("item_id"), F.lit(False)).select("doc_id", "item_id", F.lit(0.0).alias("similarity"), F.lit(0).alias("first_word"))
-    order = Window.partitionBy("doc_id", "th", "m", "k").orderBy("p")
-    hits = staged(hits.dropDuplicates(["doc_id", "th", "m", "k", "p"]), "hits").withColumn("before", F.lag("p", 1, -1).over(order))
-    # a window is made at its first hit
-    low = F.greatest(F.col("before") + 1, F.col("p") - F.col("m") + 1, F.lit(0))
-    high = F.least(F.col("p"), F.greatest(F.lit(0), F.col("s") - F.col("m")))
-    windows = hits.filter(low <= high).withColumn("at", F.explode(F.sequence(low, high)))
-    windows = windows.select("doc_id", "th", "m", "k", "at", F.slice("near", F.col("at") - F.col("base") + 1, F.col("m")).alias("own"))
-    windows = staged(windows, "windows")
-    key = ["doc_id", "th", "m", "k", "at"]
-    prints = fingerprint(windows.select(*key, F.explode("own").alias("h")), key, "h")
-    marks = blocked(fingerprint(grams, ["item_id", "ih", "m", "k"], "h").withColumnRenamed("fp", "fp_item").withColumn("fp", F.col("fp_item")), p.radius).drop("fp")
-    near = blocked(prints, p.radius).join(marks, ["m", "k", "i", "v"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_item"))) <= p.radius)
-    near = near.select(*key, "item_id", "ih").distinct()
-    same = [F.col(f"w.{c}").eqNullSafe(F.col(f"n.{c}")) for c in key]
-    cond = same[0]
-    for c in same[1:]:
-        cond = cond & c
-    own = near.alias("n").join(windows.alias("w"), cond).select(*(F.col(f"n.{c}").alias(c) for c in key), F.col("n.item_id").alias("item_id"), F.col("n.ih").alias("ih"), F.col("w.own").alias("own"))
+    runs = staged(_runs(hits.distinct()), "runs")
+    runs = staged(_with_grams(runs, docs, ks, runs.count() <= p.broadcast_rows), "grams")
+    each = runs.select(*RUN, "m", "high", F.posexplode("near").alias("i", "h")).withColumn("i", F.col("i") + F.col("low"))
+    # a shingle is part of the windows that begin up to m - 1 before it
+    at = F.sequence(F.greatest(F.col("low"), F.col("i") - F.col("m") + 1), F.least(F.col("high"), F.col("i")))
+    prints = fingerprint(each.withColumn("at", F.explode(at)), [*RUN, "at"], "h")
+    marks = blocked(fingerprint(grams, ["item_id", "ih"], "h").withColumnRenamed("fp", "fp_item").withColumn("fp", F.col("fp_item")), p.radius).drop("fp")
+    near = blocked(prints, p.radius).alias("n").join(marks.alias("i"), _same("n", "i", ["item_id", "ih", "i", "v"])).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_item"))) <= p.radius)
+    near = near.select(*(F.col(f"n.{c}").alias(c) for c in [*RUN, "at"])).distinct()
+    own = near.alias("n").join(runs.alias("r"), _same("n", "r", RUN)).select("n.*", "r.m", F.slice("r.near", F.col("n.at") - F.col("n.low") + 1, F.col("r.m")).alias("own"))
     small = whole.count() <= p.broadcast_rows // 64
-    of = whole.select(F.col("item_id").alias("_item"), F.col("ih").alias("_ih"), "grams")
-    both = own.join(F.broadcast(of) if small else of, F.col("item_id").eqNullSafe(F.col("_item")) & (F.col("ih") == F.col("_ih")))
+    of = whole.select("item_id", "ih", "grams")
+    both = own.alias("o").join((F.broadcast(of) if small else of).alias("i"), _same("o", "i", ["item_id", "ih"])).select("o.*", "i.grams")
     overlap = shared_weight(F.col("own"), F.col("grams"))
     found = both.withColumn("_o", overlap).withColumn("similarity", F.col("_o") / (F.size("own") + F.col("m") - F.col("_o"))).filter(F.col("similarity") >= p.least)
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("at")).alias("back"))).alias("best"))

@@ -151,6 +151,8 @@ def brute_leaks(rows, items, k=5, least=0.8):
         for d, t in rows:
             v = split(t)
             g = [tuple(v[i : i + kk]) for i in range(len(v) - kk + 1)]
+            if have.keys().isdisjoint(g):
+                continue
             for a in range(max(1, len(g) - m + 1)) if g else ():
                 x = Counter(g[a : a + m])
                 o = sum((x & have).values())
@@ -183,6 +185,26 @@ def test_leaks(spark):
     assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
 
 
+def test_leaks_of_long_items(spark):
+    rng = random.Random(14)
+    long = [f"l{rng.randrange(5000)}" for _ in range(1500)]
+    changed = [w if rng.random() > 0.01 else "other" for w in long]
+    items = [(1, " ".join(long)), (2, " ".join(long[:700])), (3, "so it goes on and on and on and on"), (3, "so it goes on and on and on and on")]
+    rows = [(1, " ".join(["pad"] * 50 + changed + ["pad"] * 50)), (2, " ".join(long[100:900])), (3, "so it goes " * 300 + items[2][1]), (3, "so it goes " * 3)]
+    want = brute_leaks(rows, items)
+    for p in (decontaminate.LeakParams(), decontaminate.LeakParams(broadcast_rows=0)):
+        got = {(r[0], r[1]): r[2] for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), p).collect()}
+        assert got.keys() == want.keys() >= {(1, 1), (1, 2), (3, 3)} and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+@tables
+def test_leaks_query(spark):
+    found = lambda t: [tuple(r) for r in spark.read.parquet(f"{SF}/{t}.parquet").select("doc_id" if t == "documents" else "item_id", "text").collect()]
+    want = brute_leaks(found("documents"), found("benchmark"))
+    got = {(r[0], r[1]): r[2] for r in queries.op9_decontaminate(spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
 def test_leaks_odd(spark):
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     found = decontaminate.leaks(docs(spark, ODD), items).collect()
