@@ -11,17 +11,25 @@
    above: bits that differ are elements that only one set has.  A tile returns
    what the pairs the bound lets pass connect, as stars around smallest ids;
    the components of all stars are clusters, and every linked pair lies within one.
-4. A cluster's nodes meet with their whole texts, in one tile, or in tiles of
-   neighbouring size bands and chunks when the cluster is large.  Pairs not yet
-   connected whose sizes and bit counts allow a link are decided by exact
-   intersection of sorted arrays.
+4. A cluster's nodes meet with their whole texts.  Pairs not yet connected
+   whose sizes and bit counts allow a link are decided by exact intersection of
+   sorted arrays.
+
+Nodes that meet are one tile; many are dealt in two rounds.  First each is
+compared with a few pivots of its group, in chunks that hold the pivots and
+every node once.  Then what the pivots have not connected with the group's
+largest part meets all of the group, in tiles of neighbouring size bands and
+pairs of chunks.  So a group of near copies is dealt about once however large
+it is; only where most of a large group is unlike its pivots, the rest meets
+itself in pairs of chunks.
 
 Links inside what a tile has already connected are not looked for, so groups
 of near copies cost about a comparison a document, and components are exact.
 
 Defined results: a text without words has size 0 and is alone; rows that share
 an id are one node; a row of null id joins only rows of an equal set (its
-component is null otherwise); an empty table gives no rows.
+component is null otherwise); an empty table gives no rows; extra columns
+aren't read; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -31,7 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloneweave.llm import textkernel as tk
@@ -48,11 +56,12 @@ class JoinParams:
     den: int = 100
     sketch_bits: int = 20
     slice_bits: int = 14
-    tile: int = 2048  # nodes of a tile's side at most
+    tile: int = 1024  # nodes of a tile's side at most
+    pivots: int = 8  # of a group of several tiles
     tile_shingles: int = 1 << 21
     least_bits: int = 64
     most_bits: int = 4096
-    broadcast_rows: int = 1 << 18  # of clusters' nodes at most; beyond it their texts are joined by a shuffle
+    broadcast_rows: int = 1 << 18  # dealt to tiles at most; beyond it their texts are joined by a shuffle
 
 
 def prefix_length(n: int, p: JoinParams) -> int:
@@ -83,12 +92,13 @@ def allowed(n: int, sizes: np.ndarray, apart: np.ndarray | int, p: JoinParams) -
     return p.den * overlap >= p.num * (n + sizes - overlap)
 
 
-def forest(sizes: np.ndarray, sigs: np.ndarray, p: JoinParams, able: np.ndarray | None = None, exact=None):
+def forest(sizes: np.ndarray, sigs: np.ndarray, p: JoinParams, able=None, exact=None, labels: np.ndarray | None = None):
     """A number for each row, the same for rows that allowed (and, if given, ``exact``) pairs connect; rows are in size order.
 
-    ``able(i, j...)`` may forbid pairs that another tile compares.
+    ``able(i, j...)`` may forbid pairs that another tile compares; rows of equal ``labels`` are connected from the start.
     """
-    root = np.arange(len(sizes))
+    root = np.arange(len(sizes)) if labels is None else np.unique(labels, return_index=True, return_inverse=True)[1:]
+    root = root if labels is None else root[0][root[1]]
     bits = sigs.view(np.uint64) if sigs.shape[1] % 8 == 0 else sigs
     for i in range(1, len(sizes)):
         low = int(np.searchsorted(sizes, -(-p.num * int(sizes[i]) // p.den)))
@@ -187,38 +197,89 @@ def _groups(batches, keys: list[str]):
         yield now, group
 
 
-def tiled(rows: DataFrame, group: str, p: JoinParams) -> DataFrame:
-    """Rows (group, node, n, ...) dealt to tiles: columns _g (band), _c1, _c2 (chunks) and _c (the row's own).
+TILE = ["_g", "_c1", "_c2"]
 
-    A group that fits one tile is one.  A larger one is cut by size bands that
-    a link can't skip: tiles of a band hold its rows and the next band's, in
-    chunks, and each pair of chunks meets once.
+
+def _count(p: JoinParams, rows: Column | None = None):
+    """Tiles that so many rows need."""
+    one, n = (F.lit(1), F.col("n")) if rows is None else (F.when(rows, 1), F.when(rows, F.col("n")))
+    return F.greatest(F.ceil(F.count(one) / p.tile), F.ceil(F.sum(n) / p.tile_shingles))
+
+
+def counted(rows: DataFrame, group: str, p: JoinParams) -> DataFrame:
+    """Rows (group, node, n) with _all, the tiles that their group needs."""
+    whole = rows.groupBy(F.col(group).alias("_w")).agg(_count(p).alias("_all"))
+    return rows.join(whole, F.col(group) == F.col("_w")).drop("_w")
+
+
+def _tile(rows: DataFrame, group: str, g, c1, c2, side, high=None, label=None) -> DataFrame:
+    long = lambda c: c if isinstance(c, Column) else F.lit(c).cast("long")
+    return rows.select(group, "node", "n", long(g).alias("_g"), long(c1).alias("_c1"), long(c2).alias("_c2"), F.lit(side).alias("_side"), (F.lit(False) if high is None else high).alias("_high"), (F.col("node") if label is None else label).alias("_label"))
+
+
+def single_tiles(marked: DataFrame, group: str) -> DataFrame:
+    """The groups that are one tile."""
+    return _tile(marked.filter("_all = 1"), group, -1, 0, 0, 0)
+
+
+def pivot_tiles(large: DataFrame, group: str, p: JoinParams) -> DataFrame:
+    """Chunks of the groups of several tiles: each row once (side 2), and the group's pivots in each chunk (side 1)."""
+    order = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(3), "node"), "node", "n")
+    some = large.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= p.pivots)
+    some = some.withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_all") - 1)))
+    return _tile(large, group, -2, F.pmod(F.xxhash64("node"), F.col("_all")), 0, 2).unionByName(_tile(some, group, -2, F.col("_o"), 0, 1))
+
+
+def rest_tiles(large: DataFrame, group: str, roots: DataFrame, p: JoinParams) -> DataFrame:
+    """What is not connected with its group's largest part (side 1) and all of the group (side 2), by size bands that a link can't skip.
+
+    Tiles of a band hold its rows and the next band's; each pair of chunks meets once.
     """
+    rows = large.drop("_all").join(roots.select(F.col("node").alias("_node"), F.col("root").alias("_root")), F.col("node") == F.col("_node"), "left")
+    rows = rows.withColumn("_label", F.coalesce("_root", "node")).drop("_node", "_root")
+    parts = rows.groupBy(F.col(group).alias("_w"), F.col("_label").alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
+    parts = parts.groupBy("_w").agg(F.max(F.struct("_m", "_v")).alias("_x")).select("_w", F.col("_x._v").alias("_main"))
+    rows = rows.join(parts, F.col(group) == F.col("_w")).withColumn("_rest", F.col("_label") != F.col("_main")).drop("_w", "_main")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(p.den / p.num))
-    count = lambda c: F.greatest(F.ceil(F.count(F.lit(1)) / p.tile), F.ceil(F.sum("n") / p.tile_shingles)).alias(c)
-    whole = rows.groupBy(F.col(group).alias("_w")).agg(count("_all"))
-    marked = rows.join(whole, F.col(group) == F.col("_w")).drop("_w")
-    small = marked.filter("_all = 1").drop("_all").withColumns({"_g": F.lit(-1).cast("long"), "_high": F.lit(False), "_c": F.lit(0).cast("long"), "_c1": F.lit(0).cast("long"), "_c2": F.lit(0).cast("long")})
     both = F.array(F.struct(band.alias("g"), F.lit(False).alias("high")), F.struct((band - 1).alias("g"), F.lit(True).alias("high")))
-    large = marked.filter("_all > 1").drop("_all").withColumn("_b", F.explode(both)).withColumns({"_g": F.col("_b.g"), "_high": F.col("_b.high")}).drop("_b")
-    chunks = large.groupBy(F.col(group).alias("_w"), F.col("_g").alias("_v")).agg(count("_chunks"))
-    large = large.join(chunks, (F.col(group) == F.col("_w")) & (F.col("_g") == F.col("_v"))).drop("_w", "_v")
-    large = large.withColumn("_c", F.pmod(F.xxhash64("node"), F.col("_chunks"))).withColumn("_o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)))
-    large = large.withColumns({"_c1": F.least("_c", "_o"), "_c2": F.greatest("_c", "_o")}).drop("_o", "_chunks")
-    return small.unionByName(large)
+    rows = rows.withColumn("_b", F.explode(both)).withColumns({"_g": F.col("_b.g"), "_high": F.col("_b.high")}).drop("_b")
+    chunks = rows.groupBy(F.col(group).alias("_w"), F.col("_g").alias("_v")).agg(_count(p).alias("_all"), F.coalesce(_count(p, F.col("_rest")), F.lit(0)).alias("_some")).filter("_some > 0")
+    rows = rows.join(chunks, (F.col(group) == F.col("_w")) & (F.col("_g") == F.col("_v"))).drop("_w", "_v")
+    mine = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    every = rows.withColumns({"_mine": mine("_all"), "_o": each("_some")})
+    some = rows.filter("_rest").withColumns({"_mine": mine("_some"), "_o": each("_all")})
+    tile = lambda t, c1, c2, side: _tile(t, group, F.col("_g"), F.col(c1), F.col(c2), side, F.col("_high"), F.col("_label"))
+    return tile(every, "_o", "_mine", 2).unionByName(tile(some, "_mine", "_o", 1))
 
 
 def arranged(dealt: DataFrame, group: str) -> DataFrame:
     """Tiles one after the other, rows by size."""
-    return dealt.repartition(group, "_g", "_c1", "_c2").sortWithinPartitions(group, "_g", "_c1", "_c2", "n", "node")
+    return dealt.repartition(group, *TILE).sortWithinPartitions(group, *TILE, "n", "node")
+
+
+def met(rows: DataFrame, group: str, p: JoinParams, judged) -> DataFrame:
+    """Components of the edges that ``judged`` finds in the tiles of rows (group, node, n)."""
+    marked = staged(counted(rows, group, p), "counted")
+    large = marked.filter("_all > 1")
+    if large.isEmpty():
+        return components(judged(single_tiles(marked, group)))
+    roots = components(judged(single_tiles(marked, group).unionByName(pivot_tiles(large, group, p))))
+    rest = staged(rest_tiles(large, group, roots, p), "rest")
+    if rest.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(judged(rest)))
 
 
 def _able(rows: list[dict]):
-    """Pairs that a tile compares: not both of the higher band; of different chunks if the tile has two."""
+    """Pairs that a tile compares: of different sides where it has sides; not both of the higher band."""
     high = np.array([r["_high"] for r in rows])
-    chunk = np.array([r["_c"] for r in rows])
-    two = rows[0]["_c1"] != rows[0]["_c2"]
-    return lambda i, j: ~(high[i] & high[j]) & ((chunk[j] != chunk[i]) if two else np.ones(len(j), dtype=bool))
+    side = np.array([r["_side"] for r in rows])
+    return lambda i, j: ~(high[i] & high[j]) & ((side[i] == 0) | (side[j] != side[i]))
+
+
+def _labels(rows: list[dict]) -> np.ndarray:
+    return np.array([r["_label"] for r in rows], dtype=np.int64)
 
 
 def _stars(nodes: list[int], root: np.ndarray) -> list[tuple[int, int]]:
@@ -235,11 +296,11 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def _candidates(batches, p: JoinParams):
     out = []
-    for _, rows in _groups(batches, ["key", "_g", "_c1", "_c2"]):
+    for _, rows in _groups(batches, ["key", *TILE]):
         bits = min(len(r["sig"]) for r in rows) * 8
         sigs = np.stack([folded(r["sig"], bits) for r in rows])
         sizes = np.array([r["n"] for r in rows], dtype=np.int64)
-        out += _stars([r["node"] for r in rows], forest(sizes, sigs, p, _able(rows)))
+        out += _stars([r["node"] for r in rows], forest(sizes, sigs, p, _able(rows), None, _labels(rows)))
         if len(out) > 8192:
             yield _edges(out)
             out = []
@@ -248,7 +309,7 @@ def _candidates(batches, p: JoinParams):
 
 def _verified(batches, p: JoinParams):
     out = []
-    for _, rows in _groups(batches, ["root", "_g", "_c1", "_c2"]):
+    for _, rows in _groups(batches, ["root", *TILE]):
         sets = [s for _, s in tk.shingles(pa.array([r["text"] for r in rows], pa.large_string()), p.k)]
         mine = [i for i, r in enumerate(rows) if r["n"] == len(sets[i])]  # an id of several texts meets all their sizes
         if not mine:
@@ -262,7 +323,7 @@ def _verified(batches, p: JoinParams):
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             return p.den * both >= p.num * (len(sets[i]) + len(sets[j]) - both)
 
-        out += _stars([r["node"] for r in rows], forest(sizes, sigs, p, _able(rows), exact))
+        out += _stars([r["node"] for r in rows], forest(sizes, sigs, p, _able(rows), exact, _labels(rows)))
         if len(out) > 8192:
             yield _edges(out)
             out = []
@@ -328,18 +389,23 @@ def join_components(documents: DataFrame, params: JoinParams | None = None, id_c
     rows = _meetings(lists, group.select("key"))
     many = rows.join(group.select(F.col("key").alias("_k")), F.col("key") == F.col("_k"), "left_semi")
     many = staged(many.join(nodes.select(F.col("node").alias("_node"), "n"), F.col("node") == F.col("_node")).drop("_node"), "meetings")
-    dealt = tiled(many, "key", p).join(nodes.select(F.col("node").alias("_node"), "sig", F.col("n").alias("_n")), (F.col("node") == F.col("_node")) & (F.col("n") == F.col("_n"))).drop("_node", "_n")
-    found = arranged(dealt, "key").mapInArrow(lambda b: _candidates(b, p), "a long, b long")
-    clusters = components(found)
-    roots = clusters.select("root").distinct()
-    placed = clusters.union(roots.select(F.col("root").alias("node"), "root"))
+    bits = nodes.select(F.col("node").alias("_node"), "sig", F.col("n").alias("_n"))
+
+    def candidates(dealt: DataFrame) -> DataFrame:
+        signed = dealt.join(bits, (F.col("node") == F.col("_node")) & (F.col("n") == F.col("_n"))).drop("_node", "_n")
+        return arranged(signed, "key").mapInArrow(lambda b: _candidates(b, p), "a long, b long")
+
+    clusters = met(many, "key", p, candidates)
+    placed = clusters.union(clusters.select(F.col("root").alias("node"), "root").distinct())
     placed = staged(placed.join(nodes.select(F.col("node").alias("_node"), "n"), F.col("node") == F.col("_node")).drop("_node").distinct(), "clusters")
-    dealt = tiled(placed, "root", p)
-    if placed.count() <= p.broadcast_rows:
-        dealt = F.broadcast(dealt)
-    texts = _members(documents, placed, id_col, text_col).join(dealt, F.col("id") == F.col("node")).drop("id")
-    links = arranged(texts, "root").mapInArrow(lambda b: _verified(b, p), "a long, b long")
-    roots = components(links)
+
+    def links(dealt: DataFrame) -> DataFrame:
+        dealt = staged(dealt, "dealt")
+        small = dealt.count() <= p.broadcast_rows  # of what is broadcast itself, copies and all
+        texts = _members(documents, dealt, id_col, text_col).join(F.broadcast(dealt) if small else dealt, F.col("id") == F.col("node")).drop("id")
+        return arranged(texts, "root").mapInArrow(lambda b: _verified(b, p), "a long, b long")
+
+    roots = met(placed, "root", p, links)
     label = nodes.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select(*(F.col(c).alias(f"_{c}") for c in same), F.coalesce("root", "node").alias("label"))
     out = sets.drop("sig").join(label, (F.col("n") == F.col("_n")) & (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2")), "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("label", "id").alias("component_id"))

@@ -109,6 +109,35 @@ def test_jaccard(spark, k, num, tile):
     assert got == brute_components(rows, k, num, 100)
 
 
+@pytest.mark.parametrize("pivots", [1, 3])
+def test_jaccard_large_groups(spark, pivots):
+    """Groups of many tiles, some of whose nodes are linked only through others or with nothing."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(150):  # a walk: each near the one before it, the ends far apart
+        base = list(base)
+        base[rng.randrange(200)] = f"x{i}"
+        rows.append((i, " ".join(base + ["tail"] * (i % 3))))
+    rows += [(200 + i, " ".join([f"b{j}" for j in range(60)] + [f"y{i}_{j}" for j in range(rng.randint(0, 30))])) for i in range(60)]
+    p = jaccard.JoinParams(tile=16, pivots=pivots)
+    got = {r[0]: (r[1], r[2]) for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string"), p).collect()}
+    assert got == brute_components(rows, 4, 85, 100)
+
+
+def test_rows_dealt_grow_with_the_group(spark):
+    p = jaccard.JoinParams()
+    for n in (20_000, 160_000):
+        rows = spark.range(n).select(F.lit(0).cast("long").alias("key"), F.col("id").alias("node"), (100 + F.col("id") % 10).alias("n"))
+        marked = jaccard.counted(rows, "key", p)
+        assert marked.first()["_all"] > 10
+        assert jaccard.pivot_tiles(marked, "key", p).count() <= n * (1 + 2 * p.pivots / p.tile) + p.pivots
+        roots = spark.range(1, n).filter("id % 1000 <> 7").select(F.col("id").alias("node"), F.lit(0).cast("long").alias("root"))
+        dealt = jaccard.rest_tiles(marked, "key", roots, p)
+        assert 2 * n <= dealt.count() <= 3 * n
+        assert dealt.groupBy("_g", "_c1", "_c2").count().agg(F.max("count")).first()[0] <= 3 * p.tile
+
+
 def relinked(f):
     """A base text, two with another stretch of it rewritten each, and one with a word changed in the first of these stretches."""
     base = [f"b{f}_{i}" for i in range(203)]
