@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cloneweave.llm import chat, decontaminate, jaccard, langid, media, mixing, pii, quality, queries, textkernel, tokenio, warc
+from cloneweave.llm import chat, common, decontaminate, jaccard, langid, media, mixing, pii, quality, queries, textkernel, tokenio, warc
 from cloneweave.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -568,3 +568,194 @@ def test_pipeline(spark):
     assert {r[0] for r in d.collect()} - {r[0] for r in cp.clean(spark, d, SF).collect()} == {x for x, _ in leaks}
     last = cp.run(spark, SF)
     assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and last.count() > 0
+    assert not [x for x in common.made if "/pipeline-" in x and "tokens" not in x]
+    common.discard(spark, list(common.made))
+    assert not common.made
+
+
+STAGE_ODD = [*ODD, (8, "another text of the same id here"), (11, "the same words here and there and here"), (None, "the same words here and there and here"), (None, "THE same words here and there and here"), (12, "the  same words here and there and here")]
+
+
+@pytest.fixture(scope="module")
+def odd_docs(spark):
+    """Odd rows with columns that clash with those of the stages."""
+    d = docs(spark, STAGE_ODD)
+    for c in ("_key", "key", "row", "times", "time", "share", "at", "text_", "held", "_h", "lang_pred", "_lettered", "doc", "size", "taken"):
+        d = d.withColumn(c, F.lit(c))
+    return d
+
+
+@tables
+def test_stages_odd(spark, odd_docs):
+    import corpus_pipeline as cp
+
+    got = {}
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, odd_docs, SF)
+        assert out.columns == odd_docs.columns
+        got[name] = Counter((r["doc_id"], r["text"]) for r in out.collect())
+        assert stage(spark, odd_docs.filter("false"), SF).count() == 0
+    every = Counter(STAGE_ODD)
+    assert got["language"] == Counter({x: n for x, n in every.items() if re.search(r"[^\W\d_]", x[1] or "")})
+    near = got["near_duplicates"]
+    assert set(near.values()) == {1} and near.keys() == every.keys() - {(None, STAGE_ODD[11][1]), (None, STAGE_ODD[13][1]), STAGE_ODD[14], STAGE_ODD[12], STAGE_ODD[13]} | {STAGE_ODD[11]}
+    assert got["decontamination"] == every
+    assert all(words(t) for _, t in got["mixing"])
+    n, index = cp.tokens(spark, odd_docs, SF).count(), cp.tokens(spark, odd_docs.filter("false"), SF).count()
+    assert (n, index) == (len(STAGE_ODD), 0)
+
+
+def test_language_stage_learns_nothing(spark):
+    import corpus_pipeline as cp
+
+    d = docs(spark, STAGE_ODD).withColumn("lang", F.lit(None).cast("string"))
+    assert cp.language(spark, d, SF).count() == sum(bool(re.search(r"[^\W\d_]", t or "")) for _, t in STAGE_ODD)
+
+
+def test_mixed_stage_follows_the_targets(spark):
+    """Words of a source after the stage: near its target, also where a source is a few long documents."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(16)
+    rows = [(i, " ".join([f"w{i}"] * rng.randint(1, 60)), rng.choice("abc")) for i in range(4000)] + [(9000 + i, f"x{i} " * 900, "d") for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = {i: len(words(t)) for i, t, _ in rows}
+    names = "abcd"
+    sums = np.array([sum(size[i] for i, _, s in rows if s == n) for n in names], dtype=float)
+    want = mixing.targets(sums, np.array([3.0, 1.0, 2.0, 3.0]), 1.5 * sums.sum(), 2.0)
+    out = [tuple(r) for r in cp.mixed(spark, d, SF).collect()]
+    for n, w in zip(names, want):
+        assert abs(sum(size[i] for i, _, s in out if s == n) - w) <= 1000
+    assert Counter(out) == Counter(tuple(r) for r in cp.mixed(spark, d.repartition(7), SF).collect()) and max(Counter(out).values()) <= 3
+
+
+def test_bounded_samples(spark):
+    """An id repeated very often is one row of the sample; classes and languages have at most so many rows."""
+    rows = spark.range(40_000).select(F.lit(5).cast("long").alias("id"), F.lit("a").alias("y")).union(spark.range(900).select(F.col("id") + 100, F.lit("a"))).union(spark.range(50).select(F.col("id") + 5000, F.lit("b")))
+    got = Counter(r["y"] for r in common.sample_per_class(rows, ["id"], "y", 300).collect())
+    assert got == {"a": 300, "b": 50}
+    assert {r["y"] for r in common.sample_per_class(rows, ["id"], "y", 300, labels=1).collect()} == {"a"}
+    model = langid.fit(spark.range(5000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("xx").alias("lang")), params=langid.LangParams(bins=1 << 10, per_lang=40))
+    assert model[0] == ["xx"] and len(model[1]) <= 16
+    d = spark.range(3000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("good "), F.col("id")).alias("text")).union(spark.createDataFrame([(8, "bad junk")] * 3000, "doc_id long, text string"))
+    fitted = quality.fit(d, spark.createDataFrame([(7, 1), (8, 0)] * 50, "doc_id long, quality int"), params=quality.QualityParams(buckets=1 << 12, per_class=100, epochs=1))
+    assert len(fitted[0]) == 1 << 12
+
+
+def test_quality_scores_are_the_plain_average(spark):
+    """The query's way of scoring against a mean over bags made word by word, and the training against its own sums."""
+    p = quality.QualityParams(buckets=1 << 14)
+    rng = np.random.default_rng(2)
+    logit, bias = rng.normal(size=p.buckets).astype(np.float32), 0.3
+    texts = [t for _, t in ODD] + ["One two two, ünï three", "a", "the the the the"]
+    got = quality.score(pa.array(texts, pa.string()), logit, bias, p)
+    for t, s, (ids, share) in zip(texts, got, quality.bags(pa.array(texts, pa.string()), p)):
+        z = bias + float((logit[ids].astype(float) * share).sum())
+        assert abs(s - 1 / (1 + np.exp(-z))) < 1e-6
+        w = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        n = sum(1 + sum(max(0, len(x) + 2 - g + 1) for g in p.ngrams) for x in w) + max(0, len(w) - 1)
+        assert (len(ids) > 0) == (n > 0) and (not n or abs(share.min() - round(share.min() * n) / n) < 1e-6)
+
+
+def test_language_solution_is_the_direct_one():
+    """Kernel ridge over Nystrom features against the same normal equations written out, and scores against plain kernels."""
+    p = langid.LangParams(bins=1 << 10, landmarks_per_lang=4, block=3)
+    texts = ["the cat and the hat", "a dog in the fog", "der hund und die katze", "ein haus am see", "le chat et le chien", "une maison bleue"] * 2
+    langs = ["en", "en", "de", "de", "fr", "fr"] * 2
+    dense = np.concatenate([x for _, x in langid.presence(pa.array(texts), p)])
+    names, bits, weights = langid.solve(np.packbits(dense > 0, axis=1), langs, p)
+    rows, base = langid.normal(dense).astype(float), langid.unpacked(bits).astype(float)
+    values, vectors = np.linalg.eigh(base @ base.T)
+    phi = np.hstack([rows @ base.T @ (vectors[:, values > 1e-6] / np.sqrt(values[values > 1e-6])), np.ones((len(rows), 1))])
+    y = np.where(np.array(langs)[:, None] == np.array(names), 1.0, -1.0)
+    ridge = np.diag([p.ridge * len(y)] * (phi.shape[1] - 1) + [0.0])
+    beta = np.linalg.solve(phi.T @ phi + ridge + 1e-9 * np.eye(phi.shape[1]), phi.T @ y)
+    assert np.allclose(phi @ beta, rows @ base.T @ weights[:-1] + weights[-1], atol=1e-3)
+    grams = lambda t: {(n, t.encode()[i : i + n]) for n in p.orders for i in range(len(t) - n + 1)}
+    big = langid.LangParams(bins=1 << 18)
+    x = langid.normal(np.concatenate([x for _, x in langid.presence(pa.array(texts[:4]), big)]))
+    for i in range(4):
+        for j in range(4):
+            a, b = grams(texts[i]), grams(texts[j])
+            assert abs(float(x[i] @ x[j]) - len(a & b) / np.sqrt(len(a) * len(b))) < 0.02
+    got, _ = langid.predict(pa.array(texts), np.ones(len(texts), bool), (names, langid.unpacked(bits).T, weights), p)
+    assert got == langs
+
+
+@tables
+@pytest.mark.parametrize("name", ["op4_mix", "op6_jaccard", "op7_media", "op8_tokens"])
+def test_queries_are_brute_force(spark, name):
+    """The registered queries over the smallest tables against plain Python."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
+    got = queries.QUERIES[name](spark, SF).collect()
+    assert len(got) == len(rows)
+    by = {r["doc_id"]: r for r in got}
+    if name == "op6_jaccard":
+        assert {i: (r["n_shingles"], r["component_id"]) for i, r in by.items()} == brute_components([r[:2] for r in rows], 4, 85, 100)
+    elif name == "op7_media":
+        for i, t, _ in rows:
+            raw = (t or "").encode()
+            full = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+            r = by[i]
+            assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+    elif name == "op8_tokens":
+        from tokenizers import Tokenizer
+
+        plain, start = Tokenizer.from_file(queries.token_params().tokenizer), 0
+        for i, t, _ in sorted(rows):
+            ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
+            assert (by[i]["start"], by[i]["n_tokens"], by[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+            start += len(ids)
+    else:
+        size = {i: len(words(t)) for i, t, _ in rows}
+        names = sorted({s for *_, s in rows if s is not None}, key=str.encode) + [None] * any(s is None for *_, s in rows)
+        sums = np.array([sum(size[i] for i, _, s in rows if s == n) for n in names], dtype=float)
+        want = dict(zip(names, mixing.targets(sums, np.resize([3.0, 1.0, 2.0], len(names)), 1.5 * sums.sum(), 2.0)))
+        taken = Counter()
+        for i, _, s in rows:
+            r = by[i]
+            assert r["size"] == size[i] and r["source_size"] == sums[names.index(s)] and abs(r["target"] - want[s]) < 1e-6 and 0 <= r["taken"] <= 2 * size[i]
+            taken[s] += r["taken"]
+        assert all(abs(taken[n] - want[n]) <= 64 for n in names)
+
+
+def test_small_sources_are_taken(spark):
+    rows = [(i, "w " * 400, "a") for i in range(50)] + [(100, "w " * 7, "b"), (101, "w", "c"), (102, "w " * 12, None)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(abs(sum(r["taken"] for r in got if r["doc_id"] == i) - next(r["target"] for r in got if r["doc_id"] == i)) <= 1 for i in (100, 101, 102))
+
+
+def test_damaged_member(spark):
+    png = media.encode_png(b"abc" * 50)
+    rows = [("a", 0, "7.png", bytearray(png[:-20] + b"x" + png[-19:])), ("a", 1, "8.png", bytearray(png))]
+    got = {r["doc_id"]: r for r in media.features(spark.createDataFrame(rows, media.MEMBERS)).collect()}
+    assert got[7]["feature"].startswith("damaged") and got[7]["payload_sha256"] is None and got[8]["n_bytes"] == 150
+
+
+def test_encoder_of_texts_with_special_strings():
+    e = tokenio.Encoder(tokens().tokenizer, tokens())
+    rng = random.Random(8)
+    some = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|start", "of", "text|>", "a", "The,", "\u00a0", "\u212aelvin", "\u0130x", "e\u0301.", "'s", "it's", "12", "\n", "<|endoftext|>b"]
+    texts = ["a <|ENDOFTEXT|> b"] + ["".join(rng.choice([" ", "", "\t"]) + rng.choice(some) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    assert e.batch(texts) == [e.whole(t) for t in texts]
+
+
+def test_encoder_of_another_tokenizer():
+    import public_tokenizers
+
+    other = tokenio.Encoder(public_tokenizers.path("byte_bpe_50k.json"), tokens())
+    texts = ["Two  spaces, CAPITALS and\nlines.", "<|endoftext|> x", " lead"]
+    assert not other.by_word and other.batch(texts) == [other.whole(t) for t in texts]
+
+
+def test_warc_hot_payloads(spark):
+    """Payloads over and under the bound of what is broadcast give the same records."""
+    rows = [(i, f"http://a/{i}", ("hot " * 40) if i % 3 == 0 else f"page {i // 4} " * 30 if i % 3 == 1 else "short") for i in range(60)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    arc = warc.write_arc(d, "page_id", "url", "html")
+    out = [sorted(tuple(r) for r in warc.warc_records(warc.files(spark, warc.to_warc(spark, arc, warc.WarcParams(hot=h, records=7)))).collect()) for h in (1 << 16, 3)]
+    first = {}
+    for i, _, h in rows:
+        first[h] = min(i, first.get(h, i))
+    want = {str(i): str(first[h]) if len(h) >= 100 and first[h] != i else None for i, _, h in rows}
+    assert out[0] == out[1] and {r[0]: r[6] for r in out[0]} == want and len(out[0]) == 60
