@@ -1,13 +1,15 @@
 """FASTA and FASTQ files as reads (sequence_id, sequence_input, quality).
 
 The data source ``fastx`` plans byte ranges over plain files and one partition
-over a gzip file.  A range owns the records that start in it.  FASTA records
-may have several lines; FASTQ records have four.
+over a gzip file.  A range owns the records that start in it.  A file's first
+character says whether it is FASTA, whose records may have several lines, or
+FASTQ, whose records have four.
 """
 
 from __future__ import annotations
 
 import gzip
+import io
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -54,19 +56,24 @@ def inputs(path: str) -> list[str]:
     return sorted(((scheme[0] if scheme else "") + x for x in found), key=natural)
 
 
-def records(lines: Iterable[tuple[int, str]], end: int | None = None) -> Iterator[tuple[str, str, str]]:
-    """(id, sequence, quality) from (offset, line) pairs; no record starts at or after ``end``."""
+def records(lines: Iterable[tuple[int, str]], end: int | None = None, fastq: bool | None = None) -> Iterator[tuple[str, str, str]]:
+    """(id, sequence, quality) from (offset, line) pairs; no record starts at or after ``end``.
+
+    Lines before the first header, and between FASTQ records, are left out.
+    """
     it = iter(lines)
     line = next(it, None)
     while line is not None:
         at, text = line
         if end is not None and at >= end:
             return
-        if text.startswith("@"):
+        if fastq is None and text[:1] in "@>" and text:
+            fastq = text[0] == "@"
+        if fastq and text.startswith("@"):
             seq, _, qual = (next(it, (0, ""))[1] for _ in range(3))
             yield text[1:].split()[0] if text[1:].split() else "", seq.upper(), qual
             line = next(it, None)
-        elif text.startswith(">"):
+        elif not fastq and text.startswith(">"):
             parts = []
             while (line := next(it, None)) is not None and not line[1].startswith(">"):
                 parts.append(line[1])
@@ -81,11 +88,22 @@ def _lines(f, at: int) -> Iterator[tuple[int, str]]:
         at += len(raw)
 
 
-def _starts_record(lines: list[bytes]) -> bool:
-    """Whether the first line starts a record: a header, in FASTQ with a plus sign two lines on."""
-    if lines[0].startswith(b">"):
-        return True
-    return lines[0].startswith(b"@") and len(lines) > 2 and lines[2].startswith(b"+")
+def _starts_record(lines: list[bytes], fastq: bool) -> bool:
+    """Whether the first line starts a record: a header, in FASTQ with a plus sign two lines on and as many qualities as bases.
+
+    A quality line may begin with any of these characters; but two lines after it stands a sequence.
+    """
+    if not fastq:
+        return lines[0].startswith(b">")
+    bare = [x.rstrip(b"\r\n") for x in lines]
+    return bare[0].startswith(b"@") and bare[2].startswith(b"+") and len(bare[1]) == len(bare[3])
+
+
+def _is_fastq(f) -> bool:
+    """By the first character that is no white space."""
+    while (c := f.read(1)).isspace():
+        pass
+    return c == b"@"
 
 
 class FastxRange(InputPartition):
@@ -132,9 +150,8 @@ class FastxReader(DataSourceReader):
                 yield from ((*r, name) for r in records(_lines(f, 0)))
             return
         with system.open_input_file(at) as raw:
-            import io
-
             f = io.BufferedReader(raw, 1 << 20)
+            fastq = _is_fastq(f)
             begin = part.begin
             f.seek(begin)
             if begin:
@@ -142,14 +159,14 @@ class FastxReader(DataSourceReader):
                 f.readline()
                 begin = f.tell()
                 while begin < part.end:
-                    ahead = [f.readline() for _ in range(3)]
-                    if not ahead[0] or _starts_record(ahead):
+                    ahead = [f.readline() for _ in range(4 if fastq else 1)]
+                    if not ahead[0] or _starts_record(ahead, fastq):
                         break
                     begin += len(ahead[0])
                     f.seek(begin)
                 f.seek(begin)
             if begin < part.end:
-                yield from ((*r, name) for r in records(_lines(f, begin), part.end))
+                yield from ((*r, name) for r in records(_lines(f, begin), part.end, fastq))
 
 
 def read_fastx(spark: SparkSession, path: str, range_bytes: int = RANGE) -> DataFrame:

@@ -90,6 +90,28 @@ def test_fastx(spark, tmp_path):
         fastx.reads_of(spark, 12345)
 
 
+@pytest.mark.parametrize("first", [">", "@", "+", "I"])
+def test_fastq_ranges(tmp_path, first):
+    """Every range size gives every read once, whatever the quality lines begin with."""
+    kinds = {">": ">@+", "@": "@>+", "+": "+>@", "I": "I"}[first]
+    want = [(f"r{i}", "ACGT" * (i % 5 + 1), (kinds[i % len(kinds)] + "I" * 19)[: 4 * (i % 5 + 1)]) for i in range(60)] + [("last", "A", ">")]
+    path = tmp_path / "x.fastq"
+    path.write_text("".join(f"@{n} >x\n{s}\n+{n if i % 3 else ''}\n{q}\n" for i, (n, s, q) in enumerate(want)))
+    size = path.stat().st_size
+    for step in [*range(1, 140), 500, size - 1, size, size + 1]:
+        reader = fastx.FastxReader({"path": str(path), "rangeBytes": str(step)})
+        assert [r[:3] for part in reader.partitions() for r in reader.read(part)] == want, step
+
+
+def test_fasta_ranges(tmp_path):
+    want = [(f"r{i}", "ACGT" * (i % 5 + 1), "") for i in range(40)]
+    path = tmp_path / "x.fasta"
+    path.write_text("".join(f">{n} @x\n{s[:4]}\r\n{s[4:].lower()}\n\n" for n, s, _ in want))
+    for step in [*range(1, 90), 1000]:
+        reader = fastx.FastxReader({"path": str(path), "rangeBytes": str(step)})
+        assert [r[:3] for part in reader.partitions() for r in reader.read(part)] == want, step
+
+
 def test_germlines(spark, tmp_path):
     germ = Y.germline(spark)
     (tmp_path / "g.fasta").write_text("".join(f">{r['allele']}\n{r['gapped']}\n" for r in germ.filter("segment <> 'c'").collect()))
