@@ -1,52 +1,18 @@
-"""Positions in gapped, aligned and raw sequences."""
+"""Positions in gapped, aligned and raw sequences.
+
+Functions of Python strings serve the annotation kernel; their Column forms
+run them over Arrow batches.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-
-def columns(seq: Column, gap: str) -> Column:
-    """1-based columns of the characters that aren't the gap."""
-    n = F.length(seq)
-    return F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seq, i, F.lit(1)) != gap)).otherwise(F.array().cast("array<int>"))
-
-
-def gapped_from_raw(position: Column, gapped: Column) -> Column:
-    """Column (1-based) of the raw position (1-based); the length beyond the end."""
-    return F.coalesce(F.when(position > 0, F.get(columns(gapped, "."), position - 1)), F.when((position == 0) & gapped.startswith("."), F.lit(1)).otherwise(F.length(gapped)))
-
-
-def raw_from_gapped(position: Column, gapped: Column, germline_start: Column, sequence_start: Column | int = 0) -> Column:
-    bases = F.length(F.replace(F.substring(gapped, F.lit(1), position), F.lit("."), F.lit("")))
-    return F.greatest(F.lit(0), bases - germline_start - sequence_start)
-
-
-def aligned_from_ungapped(position: Column, aligned: Column, is_end: bool = False) -> Column:
-    """Column (0-based) of a base (0-based); an end extends over the gaps that follow; null if there is none."""
-    col = F.get(columns(aligned, "-"), position) - 1
-    if not is_end:
-        return col
-    return col + F.length(F.regexp_extract(F.substring(aligned, col + 2, F.length(aligned)), "^-*", 0))
-
-
-def ungapped_from_aligned(position: Column, aligned: Column) -> Column:
-    """Bases before a column (0-based); null where the column is a gap."""
-    return F.when(F.substring(aligned, position + 1, F.lit(1)) != "-", F.length(F.replace(F.substring(aligned, F.lit(1), position), F.lit("-"), F.lit(""))))
-
-
-def query_from_reference(position: Column, query: Column, reference: Column) -> Column:
-    """Offset in the query of the reference's base (0-based)."""
-    col = F.get(columns(reference, "-"), position)
-    return F.length(F.replace(F.substring(query, F.lit(1), col - 1), F.lit("-"), F.lit("")))
-
-
-def raw_from_aligned(position: Column, reference: Column) -> Column:
-    """Columns used up when so many reference bases are."""
-    return F.when(position <= 0, F.lit(0)).otherwise(F.coalesce(F.get(columns(reference, "-"), position - 1), F.length(reference)))
+from cloneweave.functions.rows import per_row
 
 
-# The same of Python strings, for the annotation kernel.
 def gapped_index(gapped: str) -> list[int]:
     return [i + 1 for i, c in enumerate(gapped) if c != "."]
 
@@ -83,3 +49,41 @@ def gapped_sequence_text(query: str, germline: str, gapped: str, germline_start:
         out.append(q)
         cursor += 1
     return "".join(out)
+
+
+def gapped_from_raw(position: Column, gapped: Column) -> Column:
+    """Column (1-based) of the raw position (1-based); the length beyond the end."""
+    return per_row(gapped_from_raw_text, T.IntegerType(), position, gapped)
+
+
+def raw_from_gapped(position: Column, gapped: Column, germline_start: Column, sequence_start: Column | int = 0) -> Column:
+    """Bases up to a column, less what both sequences start with."""
+    start = F.lit(sequence_start) if isinstance(sequence_start, int) else sequence_start
+    return per_row(raw_from_gapped_text, T.IntegerType(), position, gapped, germline_start, start)
+
+
+def aligned_from_ungapped(position: Column, aligned: Column, is_end: bool = False) -> Column:
+    """Column (0-based) of a base (0-based); an end extends over the gaps that follow; null if there is none."""
+    return per_row(aligned_from_ungapped_text, T.IntegerType(), position, aligned, F.lit(is_end))
+
+
+def columns(seq: Column, gap: str) -> Column:
+    """1-based columns of the characters that aren't the gap."""
+    n = F.length(seq)
+    return F.when(n > 0, F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seq, i, F.lit(1)) != gap)).otherwise(F.array().cast("array<int>"))
+
+
+def ungapped_from_aligned(position: Column, aligned: Column) -> Column:
+    """Bases before a column (0-based); null where the column is a gap."""
+    return F.when(F.substring(aligned, position + 1, F.lit(1)) != "-", F.length(F.replace(F.substring(aligned, F.lit(1), position), F.lit("-"), F.lit(""))))
+
+
+def query_from_reference(position: Column, query: Column, reference: Column) -> Column:
+    """Offset in the query of the reference's base (0-based)."""
+    col = F.get(columns(reference, "-"), position)
+    return F.length(F.replace(F.substring(query, F.lit(1), col - 1), F.lit("-"), F.lit("")))
+
+
+def raw_from_aligned(position: Column, reference: Column) -> Column:
+    """Columns used up when so many reference bases are."""
+    return F.when(position <= 0, F.lit(0)).otherwise(F.coalesce(F.get(columns(reference, "-"), position - 1), F.length(reference)))

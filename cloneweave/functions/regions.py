@@ -1,9 +1,16 @@
-"""IMGT regions, masks and productivity."""
+"""IMGT regions, masks and productivity.
+
+Functions of Python strings serve the annotation kernel; their Column forms
+run them over Arrow batches.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cloneweave.functions.rows import per_row
 
 REGIONS = ["fwr1", "cdr1", "fwr2", "cdr2", "fwr3", "cdr3", "fwr4"]
 # IMGT bounds of the regions, 1-based, inclusive; nucleotides, amino acids.
@@ -17,9 +24,65 @@ def region_of_gapped(gapped: Column, region: str, aa: bool = False) -> Column:
     return F.translate(F.substring(gapped, a, b - a + 1), ".-", "")
 
 
+# Digits of a mask, loci whose junction ends with W, and texts of issues.
+DIGITS = {"cdr1": "1", "cdr2": "2", "cdr3": "3"}
+TRYPTOPHAN = ("IGH", "TRA", "TRD")
+SHIFT, STOP, AMBIGUOUS = "out-of-frame indel(s)", "stop codon(s)", "ambiguous nucleotide(s)"
+MISMATCH = "V/J locus mismatch ({} and {})"
+NO_START, NO_END = "junction does not start with conserved C", "junction does not end with conserved {}"
+
+
+def cdr_mask_text(*regions: str | None) -> str:
+    """0 for framework, 1 to 3 for the CDRs; ``regions`` in the order of REGIONS."""
+    return "".join(DIGITS.get(r, "0") * len(x or "") for r, x in zip(REGIONS, regions))
+
+
+def segment_mask_text(before: str, v_length: int, v: str | None, n1: str | None, d: str | None, n2: str | None, j: str | None, j_length: int, fwr4: str | None, cdr3: str | None = None) -> str:
+    """V, N, D and J of each position.
+
+    ``before``: all regions before CDR3; the rest of it is CDR3's parts and
+    FWR4.  In amino acids ``cdr3`` is given, and what the mask has beyond it is
+    taken off FWR4; in nucleotides FWR4 has as many as the J gene at most.
+    """
+    head = len(before)
+    mask = "V" * min(v_length, head) + "N" * max(0, head - v_length)
+    for part, letter in ((v, "V"), (n1, "N"), (d, "D"), (n2, "N"), (j, "J")):
+        mask += letter * len(part or "")
+    tail = len(fwr4 or "")
+    return mask + "J" * (min(j_length, tail) if cdr3 is None else max(0, tail - max(0, len(mask) - head - len(cdr3))))
+
+
+def nongermline_text(query: str, germline: str, segments: str) -> str:
+    """1 where a base is not the germline's or lies in N; columns where the query has a gap are left out."""
+    out: list[str] = []
+    for q, g in zip(query, germline):
+        if len(out) == len(segments):
+            break
+        if q != "-":
+            out.append("1" if segments[len(out)] == "N" or q != g else "0")
+    return "".join(out)
+
+
+def productivity_text(sequence: str, sequence_aa: str, v_call: str, j_call: str, junction_aa: str | None, loc: str | None, shifted: bool, tryptophan: tuple[str, ...] = TRYPTOPHAN) -> list[str]:
+    """What makes a sequence non-productive, in order."""
+    out = [SHIFT] if shifted else []
+    if "*" in sequence_aa:
+        out.append(STOP)
+    if "N" in sequence:
+        out.append(AMBIGUOUS)
+    if v_call[:3] != j_call[:3]:
+        out.append(MISMATCH.format(v_call, j_call))
+    if junction_aa:
+        if junction_aa[0] != "C":
+            out.append(NO_START)
+        ends = "W/F" if loc is None else "W" if loc.upper() in tryptophan else "F"
+        if junction_aa[-1] not in ends.split("/"):
+            out.append(NO_END.format(ends))
+    return out
+
+
 def cdr_mask(regions: dict[str, Column]) -> Column:
-    """0 for framework, 1 to 3 for the CDRs."""
-    return F.concat(*[F.repeat(F.lit({"cdr1": "1", "cdr2": "2", "cdr3": "3"}.get(r, "0")), F.length(regions[r])) for r in REGIONS])
+    return per_row(cdr_mask_text, T.StringType(), *(regions[r] for r in REGIONS), nulls=True)
 
 
 def mask_array(mask: Column) -> Column:
@@ -27,36 +90,13 @@ def mask_array(mask: Column) -> Column:
     return F.filter(F.split(mask, ""), lambda x: x != "")
 
 
-def segment_mask(before: Column, v_length: Column, v: Column, n1: Column, d: Column, n2: Column, j: Column, j_length: Column, fwr4: Column, aa: bool = False) -> Column:
-    """V, N, D and J of each position.
-
-    ``before``: all regions before CDR3; the rest of it is CDR3's parts and FWR4.
-    """
-    head = F.length(before)
-    start = F.concat(F.repeat(F.lit("V"), F.least(v_length, head)), F.repeat(F.lit("N"), F.greatest(F.lit(0), head - v_length)))
-    some = lambda c, s: F.repeat(F.lit(s), F.length(F.coalesce(c, F.lit(""))))
-    tail = F.repeat(F.lit("J"), F.length(fwr4) if aa else F.least(j_length, F.length(fwr4)))
-    return F.concat(start, some(v, "V"), some(n1, "N"), some(d, "D"), some(n2, "N"), some(j, "J"), tail)
+def segment_mask(before: Column, v_length: Column, v: Column, n1: Column, d: Column, n2: Column, j: Column, j_length: Column, fwr4: Column, cdr3: Column | None = None) -> Column:
+    return per_row(segment_mask_text, T.StringType(), before, v_length, v, n1, d, n2, j, j_length, fwr4, F.lit(None).cast("string") if cdr3 is None else cdr3, nulls=True)
 
 
 def nongermline_mask(query: Column, germline: Column, segments: Column) -> Column:
-    """1 where a base is not the germline's or lies in N; columns where the query has a gap are left out."""
-    n = F.length(query)
-    kept = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(query, i, F.lit(1)) != "-")
-    one = lambda i, k: F.when((F.substring(segments, k + 1, F.lit(1)) == "N") | (F.substring(query, i, F.lit(1)) != F.substring(germline, i, F.lit(1))), "1").otherwise("0")
-    return F.when(n > 0, F.array_join(F.slice(F.transform(kept, one), F.lit(1), F.length(segments)), "")).otherwise("")
+    return per_row(nongermline_text, T.StringType(), query, germline, segments)
 
 
 def productivity_issues(sequence: Column, sequence_aa: Column, v_call: Column, j_call: Column, junction_aa: Column, loc: Column, shifted: Column) -> Column:
-    """Array of what makes a sequence non-productive, in order."""
-    some = F.length(F.coalesce(junction_aa, F.lit(""))) > 0
-    end = F.when(loc.isin("IGH", "TRA", "TRD"), ~junction_aa.endswith("W")).when(loc.isin("IGK", "IGL", "TRB", "TRG"), ~junction_aa.endswith("F")).otherwise(~junction_aa.rlike("[WF]$"))
-    tests = [
-        (shifted, "out-of-frame indel(s)"),
-        (F.instr(sequence_aa, "*") > 0, "stop codon(s)"),
-        (F.instr(sequence, "N") > 0, "ambiguous nucleotide(s)"),
-        (F.substring(v_call, 1, 3) != F.substring(j_call, 1, 3), "V/J locus mismatch"),
-        (some & ~junction_aa.startswith("C"), "junction does not start with conserved C"),
-        (some & end, "junction does not end with conserved W/F"),
-    ]
-    return F.filter(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(m)) for t, m in tests]), lambda x: x.isNotNull())
+    return per_row(productivity_text, T.ArrayType(T.StringType()), sequence, sequence_aa, v_call, j_call, junction_aa, loc, shifted, nulls=True)

@@ -1,4 +1,8 @@
-"""Mutations and indels in IMGT numbering: ``6:A>T``, ``5:3>GGG``, ``3-4:2>GC!``."""
+"""Mutations and indels in IMGT numbering: ``6:A>T``, ``5:3>GGG``, ``3-4:2>GC!``.
+
+Each is one function of Python strings, linear in their length, that the
+annotation kernel calls; the Column forms run the same function over Arrow batches.
+"""
 
 from __future__ import annotations
 
@@ -6,61 +10,56 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cloneweave.functions.positions import columns, gapped_from_raw_text, gapped_index
+from cloneweave.functions.positions import gapped_from_raw_text, gapped_index
+from cloneweave.functions.rows import per_row
 
-VARIANT = "array<struct<position:int,germline:string,sequence:string>>"
+LIST = T.ArrayType(T.StringType())
 
 
-def _imgt(index: Column, gapped: Column, raw: Column) -> Column:
-    """IMGT position of a raw one (1-based); the length beyond the end."""
-    return F.coalesce(F.when(raw > 0, F.get(index, raw - 1)), F.length(gapped))
+def mutations_text(query: str, germline: str, gapped: str, start: int) -> list[str]:
+    index, raw, out = gapped_index(gapped), start, []
+    for q, g in zip(query, germline):
+        raw += g != "-"
+        if q != g and "-" not in (q, g):
+            out.append(f"{gapped_from_raw_text(raw, gapped, index)}:{g}>{q}")
+    return out
 
 
-def mutation_list(query: Column, germline: Column, gapped: Column, start: Column) -> Column:
-    """Array of struct(position, germline, sequence)."""
-    n = F.length(germline)
-    index = columns(gapped, ".")
-    bases = lambda i: F.length(F.replace(F.substring(germline, F.lit(1), i), F.lit("-"), F.lit("")))
-    at = lambda s, i: F.substring(s, i, F.lit(1))
-    spots = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (at(query, i) != at(germline, i)) & (at(query, i) != "-") & (at(germline, i) != "-"))
-    found = F.transform(spots, lambda i: F.struct(_imgt(index, gapped, bases(i) + start).cast("int").alias("position"), at(germline, i).alias("germline"), at(query, i).alias("sequence")))
-    return F.when(n > 0, found).otherwise(F.array().cast(VARIANT))
+def indels_text(query: str, germline: str, gapped: str, start: int, kind: str) -> list[str]:
+    index, out = gapped_index(gapped), []
+    held, other = (germline, query) if kind == "insertion" else (query, germline)
+    for m in re.finditer("-+", held):
+        n, seq = len(m[0]), other[m.start() : m.end()]
+        raw = start + len(germline[: m.start()].replace("-", "")) + (kind == "deletion")
+        at = gapped_from_raw_text(raw, gapped, index) if raw > 0 else len(gapped)
+        span = f"{at}-{at + n - 1}" if kind == "deletion" and n > 1 else f"{at}"
+        out.append(f"{span}:{n}>{seq}{'!' if n % 3 else ''}")
+    return out
 
 
-def mutations(query: Column, germline: Column, gapped: Column, start: Column) -> Column:
-    return F.array_join(F.transform(mutation_list(query, germline, gapped, start), lambda m: F.concat(m["position"], F.lit(":"), m["germline"], F.lit(">"), m["sequence"])), "|")
+def mutation_list(query: Column, germline: Column, gapped: Column, start: Column) -> Column:
+    """Array of notations."""
+    return per_row(mutations_text, LIST, query, germline, gapped, start)
 
 
-def _runs(seq: Column) -> Column:
-    """Array of struct(at, n): starts (1-based) and lengths of the runs of gaps."""
-    n = F.length(seq)
-    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (F.substring(seq, i, F.lit(1)) == "-") & ((i == 1) | (F.substring(seq, i - 1, F.lit(1)) != "-")))
-    found = F.transform(starts, lambda i: F.struct(i.alias("at"), F.length(F.regexp_extract(F.substring(seq, i, n), "^-+", 0)).alias("n")))
-    return F.when(n > 0, found).otherwise(F.array().cast("array<struct<at:int,n:int>>"))
+def mutation_structs(notations: Column) -> Column:
+    """Array of struct(position, germline, sequence)."""
+    part = lambda m, i: F.regexp_extract(m, r"^(\d+):(.)>(.)$", i)
+    return F.transform(notations, lambda m: F.struct(part(m, 1).cast("int").alias("position"), part(m, 2).alias("germline"), part(m, 3).alias("sequence")))
 
 
-def _mark(n: Column) -> Column:
-    return F.when(n % 3 != 0, F.lit("!")).otherwise(F.lit(""))
+def mutations(query: Column, germline: Column, gapped: Column, start: Column) -> Column:
+    return F.array_join(mutation_list(query, germline, gapped, start), "|")
 
 
 def insertions(query: Column, germline: Column, gapped: Column, start: Column) -> Column:
-    index = columns(gapped, ".")
-    before = lambda i: F.length(F.replace(F.substring(germline, F.lit(1), i - 1), F.lit("-"), F.lit("")))
-    one = lambda r: F.concat(_imgt(index, gapped, before(r["at"]) + start), F.lit(":"), r["n"], F.lit(">"), F.substring(query, r["at"], r["n"]), _mark(r["n"]))
-    return F.array_join(F.transform(_runs(germline), one), "|")
+    return F.array_join(per_row(lambda *x: indels_text(*x, "insertion"), LIST, query, germline, gapped, start), "|")
 
 
 def deletions(query: Column, germline: Column, gapped: Column, start: Column) -> Column:
-    index = columns(gapped, ".")
-    upto = lambda i: F.length(F.replace(F.substring(germline, F.lit(1), i), F.lit("-"), F.lit("")))
-
-    def one(r: Column) -> Column:
-        first = _imgt(index, gapped, upto(r["at"]) + start)
-        span = F.when(r["n"] > 1, F.concat(first, F.lit("-"), first + r["n"] - 1)).otherwise(first.cast("string"))
-        return F.concat(span, F.lit(":"), r["n"], F.lit(">"), F.substring(germline, r["at"], r["n"]), _mark(r["n"]))
-
-    return F.array_join(F.transform(_runs(query), one), "|")
+    return F.array_join(per_row(lambda *x: indels_text(*x, "deletion"), LIST, query, germline, gapped, start), "|")
 
 
 def indel_length(notation: Column) -> Column:
@@ -75,25 +74,3 @@ def frameshift(ins: Column, dels: Column) -> Column:
 
 def identity(count: Column, length: Column) -> Column:
     return F.when(length > 0, 1 - count / length)
-
-
-# The same of Python strings.
-def mutations_text(query: str, germline: str, gapped: str, start: int) -> list[str]:
-    index, raw, out = gapped_index(gapped), start, []
-    for q, g in zip(query, germline):
-        raw += g != "-"
-        if q != g and "-" not in (q, g):
-            out.append(f"{gapped_from_raw_text(raw, gapped, index)}:{g}>{q}")
-    return out
-
-
-def indels_text(query: str, germline: str, gapped: str, start: int, kind: str) -> list[str]:
-    index, out = gapped_index(gapped), []
-    held, other = (germline, query) if kind == "insertion" else (query, germline)
-    for m in re.finditer("-+", held):
-        n, seq = len(m[0]), other[m.start() : m.end()]
-        raw = start + len(germline[: m.start()].replace("-", "")) + (kind == "deletion")
-        at = gapped_from_raw_text(raw, gapped, index) if raw > 0 else len(gapped)
-        span = f"{at}-{at + n - 1}" if kind == "deletion" and n > 1 else f"{at}"
-        out.append(f"{span}:{n}>{seq}{'!' if n % 3 else ''}")
-    return out

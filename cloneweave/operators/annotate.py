@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from cloneweave.functions import regions as R
@@ -28,7 +29,10 @@ from cloneweave.operators.align import Alignment, Params, align
 from cloneweave.operators.umi import UmiPattern, find_umis
 from cloneweave.schema import FAILED, OUTPUT_COLUMNS
 
-HEAVY = ("IGH", "TRA", "TRD")
+HEAVY = R.TRYPTOPHAN
+# IMGT columns of FR3 in a gapped V gene, and bases of FR4 at the end of a J gene.
+FR3 = slice(195, 312)
+FR4_HEAVY, FR4_LIGHT = 34, 31
 
 
 @dataclass(frozen=True)
@@ -151,27 +155,8 @@ def cdr3_parts(out: dict) -> None:
 def _segment_mask(out: dict, aa: bool) -> str:
     s = "_aa" if aa else ""
     of = lambda c: out[c + s] or ""
-    head = sum(len(of(r)) for r in R.REGIONS[:5])
-    v = len(of("v_sequence"))
-    mask = "V" * min(v, head) + "N" * max(0, head - v) + "V" * len(of("cdr3_v")) + "N" * len(of("cdr3_n1"))
-    if out["d_call"]:
-        mask += "D" * len(of("cdr3_d")) + "N" * len(of("cdr3_n2"))
-    mask += "J" * len(of("cdr3_j"))
-    tail = len(of("fwr4"))
-    if aa:
-        tail -= max(0, len(mask) - head - len(of("cdr3")))
-        return mask + "J" * max(0, tail)
-    return mask + "J" * min(len(out["j_sequence"]), tail)
-
-
-def _nongermline(query: str, germline: str, segments: str) -> str:
-    out: list[str] = []
-    for q, g in zip(query, germline):
-        if len(out) == len(segments):
-            break
-        if q != "-":
-            out.append("1" if segments[len(out)] == "N" or q != g else "0")
-    return "".join(out)
+    d, n2 = (of("cdr3_d"), of("cdr3_n2")) if out["d_call"] else (None, None)
+    return R.segment_mask_text("".join(of(r) for r in R.REGIONS[:5]), len(of("v_sequence")), of("cdr3_v"), of("cdr3_n1"), d, n2, of("cdr3_j"), len(out["j_sequence"]), of("fwr4"), of("cdr3") if aa else None)
 
 
 def annotate_one(row: dict, germ: Germlines, p: AnnotateParams):
@@ -210,10 +195,7 @@ def annotate_one(row: dict, germ: Germlines, p: AnnotateParams):
     dels = indels_text(v_loc.aligned_query, v_loc.aligned_target, gapped, vg, "deletion") if "-" in v_loc.aligned_query else []
     out["v_insertions"], out["v_deletions"] = "|".join(ins), "|".join(dels)
     size = lambda xs: sum(int(x.split(":")[1].split(">")[0]) for x in xs)
-    issues = []
-    if (size(ins) - size(dels)) % 3:
-        out["v_frameshift"] = True
-        issues.append("out-of-frame indel(s)")
+    out["v_frameshift"] = (size(ins) - size(dels)) % 3 != 0
 
     # J
     rest = seq[ve:]
@@ -276,10 +258,10 @@ def annotate_one(row: dict, germ: Germlines, p: AnnotateParams):
 
     # junction: FR3 with the conserved C, FR4 with the conserved W or F, each first aligned to its aligned germline
     near = _open(sc, p.realign_open)
-    fr3 = yield from _pair(gapped[195:312].replace(".", ""), v_sg.aligned_target, "semiglobal", near)
+    fr3 = yield from _pair(gapped[FR3].replace(".", ""), v_sg.aligned_target, "semiglobal", near)
     fr3 = yield from _pair(v_sg.aligned_query, fr3.aligned_query.strip("-"), "semiglobal", sc)
     start = len(v_sg.aligned_query[: fr3.query_end].replace("-", "")) - 2
-    fr4 = yield from _pair(j_germ_full[-34 if locus in HEAVY else -31 :], j_sg.aligned_target, "semiglobal", near)
+    fr4 = yield from _pair(j_germ_full[-(FR4_HEAVY if locus in HEAVY else FR4_LIGHT) :], j_sg.aligned_target, "semiglobal", near)
     fr4 = yield from _pair(seq[max(0, start) : je], fr4.aligned_query.strip("-"), "semiglobal", sc)
     end = fr4.query_begin + start + 3
     junction = seq[max(0, start) : end]
@@ -303,27 +285,15 @@ def annotate_one(row: dict, germ: Germlines, p: AnnotateParams):
     cdr3_parts(out)
 
     # productivity
-    if "*" in out["sequence_aa"]:
-        out["stop_codon"] = True
-        issues.append("stop codon(s)")
-    if "N" in out["sequence"]:
-        issues.append("ambiguous nucleotide(s)")
-    if v_name[:3] != j_name[:3]:
-        issues.append("V/J locus mismatch")
-    if jaa := out["junction_aa"]:
-        if jaa[0] != "C":
-            issues.append("junction does not start with conserved C")
-        ends = "W" if locus in p.tryptophan_loci else "F" if locus in ("IGK", "IGL", "TRB", "TRG") else "WF"
-        if jaa[-1] not in ends:
-            issues.append("junction does not end with conserved W/F")
+    out["stop_codon"] = "*" in out["sequence_aa"]
+    issues = R.productivity_text(out["sequence"], out["sequence_aa"], out["v_call"], out["j_call"], out["junction_aa"], locus, out["v_frameshift"], p.tryptophan_loci)
     out["productive"], out["productivity_issues"] = not issues, "|".join(issues)
 
     # masks
-    digits = {"cdr1": "1", "cdr2": "2", "cdr3": "3"}
     for s, q, g in (("", out["sequence_alignment"], out["germline_alignment"]), ("_aa", out["sequence_alignment_aa"], out["germline_alignment_aa"])):
-        out["cdr_mask" + s] = "".join(digits.get(r, "0") * len(out[r + s] or "") for r in R.REGIONS)
+        out["cdr_mask" + s] = R.cdr_mask_text(*(out[r + s] for r in R.REGIONS))
         out["gene_segment_mask" + s] = _segment_mask(out, bool(s))
-        out["nongermline_mask" + s] = _nongermline(q, g, out["gene_segment_mask" + s])
+        out["nongermline_mask" + s] = R.nongermline_text(q, g, out["gene_segment_mask" + s])
     return out
 
 
@@ -387,7 +357,7 @@ def annotate_rows(rows: list[dict], germ: Germlines, p: AnnotateParams) -> list[
 
 
 def annotate(assigned: DataFrame, germline: DataFrame, params: AnnotateParams | None = None) -> DataFrame:
-    """The output columns and ``error`` of every assigned read.
+    """The output columns and ``error`` of every assigned read, and its ``sample`` if it has one.
 
     The germline table (segment, allele, seq, gapped) is collected: it is a
     reference of a few thousand alleles, and larger ones are refused.
@@ -397,15 +367,18 @@ def annotate(assigned: DataFrame, germline: DataFrame, params: AnnotateParams |
     if len(rows) > 200_000:
         raise ValueError("a germline database has at most 200,000 alleles")
     shared = assigned.sparkSession.sparkContext.broadcast([r.asDict() for r in rows])
-    schema = to_arrow_schema(FAILED)
+    more = [c for c in assigned.columns if c == "sample"]
+    kinds = T.StructType([*FAILED.fields, *(T.StructField(c, T.StringType()) for c in more)])
+    schema = to_arrow_schema(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         germ = Germlines(shared.value)
         for b in batches:
             for first in range(0, b.num_rows, 512):
-                yield pa.RecordBatch.from_pylist(annotate_rows(b.slice(first, 512).to_pylist(), germ, p), schema=schema)
+                rows = b.slice(first, 512).to_pylist()
+                yield pa.RecordBatch.from_pylist([out | {c: row[c] for c in more} for row, out in zip(rows, annotate_rows(rows, germ, p))], schema=schema)
 
-    return assigned.mapInArrow(run, FAILED)
+    return assigned.mapInArrow(run, kinds)
 
 
 def succeeded(rows: DataFrame) -> DataFrame:

@@ -87,10 +87,11 @@ for _frame in (1, 2, 3):
     _translated(_frame)
 
 
-@query("aa_usage", f"SELECT substr(aa, 1, 1) AS first_aa, CAST(count(*) AS BIGINT) AS n FROM (SELECT {TRANSLATE_SQL.format(f=1, amino=S.AMINO)} AS aa FROM (SELECT substr({NT}, 1) AS s FROM documents)) GROUP BY 1")
+@query("aa_usage", f"SELECT unnest(string_split(aa, '')) AS aa, CAST(count(*) AS BIGINT) AS n FROM (SELECT {TRANSLATE_SQL.format(f=1, amino=S.AMINO)} AS aa FROM (SELECT {NT} AS s FROM documents)) WHERE aa <> '' GROUP BY 1")
 def aa_usage(spark, sf_dir):
+    """Every amino acid of every text."""
     aa = S.translate(nt(F.col("text")))
-    return table(spark, sf_dir, "documents").select(F.substring(aa, 1, 1).alias("first_aa")).groupBy("first_aa").agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf_dir, "documents").select(F.explode(F.split(aa, "")).alias("aa")).filter("aa <> ''").groupBy("aa").agg(F.count(F.lit(1)).alias("n"))
 
 
 CALL = "'IG' || substr('HKL', 1 + CAST(p_partkey % 3 AS INT), 1) || substr('VDJ', 1 + CAST(p_size % 3 AS INT), 1) || p_size || '*0' || (1 + p_partkey % 4) || CASE WHEN p_partkey % 2 = 0 THEN '__' || lower(p_type) ELSE '' END"
@@ -190,7 +191,8 @@ WITH_IX = f"(SELECT *, {IX} AS ix FROM ({PAIRS}))"
 @query("mutations", f"SELECT o_orderkey, {MUTATIONS} AS mutations, CAST(len({SPOTS}) AS INT) AS mutation_count FROM {WITH_IX}")
 def mutations(spark, sf_dir):
     read, germ, gap, start = cols()
-    return pairs(spark, sf_dir).select("o_orderkey", X.mutations(read, germ, gap, start).alias("mutations"), F.size(X.mutation_list(read, germ, gap, start)).alias("mutation_count"))
+    found = pairs(spark, sf_dir).select("o_orderkey", X.mutation_list(read, germ, gap, start).alias("m"))
+    return found.select("o_orderkey", F.array_join("m", "|").alias("mutations"), F.size("m").alias("mutation_count"))
 
 
 @query("insertions", f"SELECT o_orderkey, {INSERTIONS} AS insertions FROM {WITH_IX}")
@@ -273,9 +275,10 @@ def nongermline_mask(spark, sf_dir):
 @query(
     "productivity",
     f"""SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size % 7 = 0 THEN 'out-of-frame indel(s)' END, CASE WHEN contains(aa, '*') THEN 'stop codon(s)' END,
-      CASE WHEN contains(s, 'N') THEN 'ambiguous nucleotide(s)' END, CASE WHEN substr(call, 1, 3) <> 'IGH' THEN 'V/J locus mismatch' END,
+      CASE WHEN contains(s, 'N') THEN 'ambiguous nucleotide(s)' END, CASE WHEN substr(call, 1, 3) <> 'IGH' THEN 'V/J locus mismatch (' || call || ' and IGHJ1*01)' END,
       CASE WHEN substr(aa, 2, 1) <> 'C' THEN 'junction does not start with conserved C' END,
-      CASE WHEN (CASE WHEN substr(call, 1, 3) = 'IGH' THEN right(aa, 1) <> 'W' ELSE right(aa, 1) <> 'F' END) THEN 'junction does not end with conserved W/F' END],
+      CASE WHEN substr(call, 1, 3) = 'IGH' AND right(aa, 1) <> 'W' THEN 'junction does not end with conserved W'
+           WHEN substr(call, 1, 3) <> 'IGH' AND right(aa, 1) <> 'F' THEN 'junction does not end with conserved F' END],
       lambda x: x IS NOT NULL), '|') AS issues FROM (SELECT *, {TRANSLATE_SQL.format(f=1, amino=S.AMINO)} AS aa FROM (SELECT p_partkey, p_size, {CALL} AS call, {hexed('p_partkey')} AS s FROM part))""",
 )
 def productivity(spark, sf_dir):
@@ -300,12 +303,12 @@ SEEDS = f"""(SELECT q.c_custkey AS query, q.rev AS strand, g.s_suppkey AS allele
 def _seeds(spark, sf_dir):
     q = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("query"), F.translate(digits(F.col("c_custkey")), HEX, PLAIN).alias("seq"))
     g = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("allele"), F.translate(digits(F.col("s_suppkey")), HEX, PLAIN).alias("seq"))
-    return G.seeds(q, g, G.SearchParams(k=K))
+    return q, g, G.SearchParams(k=K)
 
 
 @query("kmer_seeds", f"SELECT query, strand, allele, diagonal, n FROM {SEEDS}")
 def kmer_seeds(spark, sf_dir):
-    return _seeds(spark, sf_dir)
+    return G.seeds(*_seeds(spark, sf_dir))
 
 
 BEST = f"(SELECT query, allele, n, strand FROM (SELECT *, row_number() OVER (PARTITION BY query, allele ORDER BY n DESC, strand, diagonal) AS r FROM {SEEDS}) WHERE r = 1)"
@@ -313,14 +316,14 @@ BEST = f"(SELECT query, allele, n, strand FROM (SELECT *, row_number() OVER (PAR
 
 @query("best_diagonal", f"SELECT query, allele, n, strand FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, allele) AS r FROM {BEST}) WHERE r <= 3")
 def best_diagonal(spark, sf_dir):
-    return G.candidates(_seeds(spark, sf_dir), 3)
+    return G.candidates(*_seeds(spark, sf_dir), 3)
 
 
 HITS_SQL = f"""(SELECT query, arg_min(allele, (-n, allele)) AS target, max(n) AS nident FROM {BEST} GROUP BY query)"""
 
 
 def _hits(spark, sf_dir):
-    rows = G.candidates(_seeds(spark, sf_dir), 25).select("query", F.col("allele").alias("target"), F.lit(0.0).alias("evalue"), F.col("n").alias("nident"))
+    rows = G.candidates(*_seeds(spark, sf_dir)).select("query", F.col("allele").alias("target"), F.lit(0.0).alias("evalue"), F.col("n").alias("nident"))
     return G.best_hit(rows).select("query", "target", "nident")
 
 

@@ -68,10 +68,10 @@ def test_cdr_mask(spark):
     assert one(spark, R.mask_array(mask)) == list("000011111000022200000033333000")
 
 
-@pytest.mark.parametrize("change,part", [({"aa": "CA*W"}, "stop codon"), ({"j": "AAAW"}, "conserved C"), ({"j": "CAAA"}, "conserved W/F"), ({"jc": "IGKJ1*01"}, "locus mismatch"), ({"s": "ACN"}, "ambiguous nucleotide")])
+@pytest.mark.parametrize("change,part", [({"aa": "CA*W"}, "stop codon"), ({"j": "AAAW"}, "conserved C"), ({"j": "CAAA"}, "conserved W"), ({"j": "CAAW", "l": "IGK"}, "conserved F"), ({"j": "CAAA", "l": None}, "conserved W/F"), ({"jc": "IGKJ1*01"}, "locus mismatch (IGHV1 and IGKJ1*01)"), ({"s": "ACN"}, "ambiguous nucleotide")])
 def test_productivity(spark, change, part):
-    x = {"s": "ACG", "aa": "CAAW", "v": "IGHV1", "jc": "IGHJ1*01", "j": "CAAW"}
-    issues = lambda x: one(spark, R.productivity_issues(*(F.lit(x[k]) for k in ("s", "aa", "v", "jc", "j")), F.lit("IGH"), F.lit(False)))
+    x = {"s": "ACG", "aa": "CAAW", "v": "IGHV1", "jc": "IGHJ1*01", "j": "CAAW", "l": "IGH"}
+    issues = lambda x: one(spark, R.productivity_issues(*(F.lit(x[k]) for k in ("s", "aa", "v", "jc", "j")), F.lit(x["l"]).cast("string"), F.lit(False)))
     assert issues(x) == []
     assert any(part in i for i in issues(x | change))
 
