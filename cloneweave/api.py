@@ -7,11 +7,12 @@ and tool functions.
 
 from __future__ import annotations
 
+import json
 import time
 from types import SimpleNamespace
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cloneweave.functions import sequence as S
@@ -23,13 +24,13 @@ from cloneweave.sources import sinks
 from cloneweave.sources.fastx import reads_of
 
 gl = SimpleNamespace(get_germline_database_path=G.get_germline_database_path, get_germline=G.get_germline, build_germline_database=G.build_germline_database, load=G.load)
-pp = SimpleNamespace(merge_fastqs=merge.merge_fastqs, group_paired_fastqs=merge.group_paired_fastqs)
+pp = SimpleNamespace(merge_fastqs=merge.merge_fastqs, group_paired_fastqs=merge.group_paired_fastqs, merge_report=merge.merge_report)
 tl = SimpleNamespace(parse_umis=parse_umis, build_germline_database=G.build_germline_database)
 
 
-def annotate_reads(reads: DataFrame, germline: DataFrame, params: A.AnnotateParams | None = None) -> tuple[DataFrame, DataFrame]:
-    """(annotated rows with ``error``, unassigned reads), both from one assignment kept for the two."""
-    calls = assign.assign(reads, germline).persist(StorageLevel.DISK_ONLY)
+def annotate_reads(reads: DataFrame, germline: DataFrame, params: A.AnnotateParams | None = None, assigner: assign.Assigner = assign.assign) -> tuple[DataFrame, DataFrame]:
+    """(annotated rows with ``error``, unassigned reads); persist the assignment's input where both are needed of a costly one."""
+    calls = assigner(reads, germline)
     return A.annotate(assign.assigned(calls), germline, params), assign.unassigned(calls)
 
 
@@ -50,13 +51,17 @@ def run(
     verbose: bool = False,
     debug: bool = False,
     germline_location: str | None = None,
+    assigner: assign.Assigner = assign.assign,
 ):
     """Annotate a path, a sequence or an iterable of sequences.
 
     Without a project path, returns the annotated DataFrame of all samples, or
     its rows (one row alone as itself) if ``as_dataframe`` is false.  With one,
-    writes airr/ and parquet/ as asked, unassigned/ and log/, and returns None.
-    Sizes of chunks, threads and processes are Spark's.
+    writes airr/ and parquet/ as asked, unassigned/ and log/, each with a folder
+    for every sample, log/summary (reads, annotated, seconds), and returns None.
+    Read pairs are merged if ``merge`` or ``interleaved_fastq`` is set.  Sizes of
+    chunks, threads and processes are Spark's.  ``assigner`` may be any function
+    of reads and germline that returns the columns of an assignment.
     """
     from cloneweave.operators import merge as M
 
@@ -66,7 +71,7 @@ def run(
     germ = germline_database if isinstance(germline_database, DataFrame) else G.load(spark, germline_database, receptor, germline_location)
     name = "custom" if isinstance(germline_database, DataFrame) else germline_database
     began = time.time()
-    if merge:
+    if merge or interleaved_fastq:
         reads = M.merge_fastqs(spark, sequences, interleaved=interleaved_fastq, params=M.MergeParams(**(merge_kwargs or {})))
     else:
         reads = reads_of(spark, sequences)
@@ -75,13 +80,16 @@ def run(
         reads = spark.read.parquet(f"{project_path}/input")
     umis = () if umi_pattern is None and umi_length is None else patterns(umi_pattern, umi_length)
     params = A.AnnotateParams(germline_database=name, umis=umis)
-    rows, left = annotate_reads(reads, germ, params)
-    good = A.succeeded(rows)
     if not project_path:
+        good = A.succeeded(annotate_reads(reads, germ, params, assigner)[0])
         if as_dataframe:
             return good
         found = good.collect()
         return found[0] if len(found) == 1 else found
+    seen, done = Observation(), Observation()
+    calls = assigner(reads.observe(seen, F.count(F.lit(1)).alias("reads")), germ).persist(StorageLevel.DISK_ONLY)
+    left = assign.unassigned(calls)
+    rows = A.annotate(assign.assigned(calls), germ, params).observe(done, F.count(F.when(F.col("error").isNull(), 1)).alias("annotated"))
     rows = rows.persist(StorageLevel.DISK_ONLY)
     good = A.succeeded(rows)
     if "airr" in formats:
@@ -92,10 +100,13 @@ def run(
     sinks.write_log(A.failed(rows), f"{project_path}/log/failed")
     if debug:
         good.select("sequence_id").write.option("header", True).csv(f"{project_path}/log/succeeded")
+    # counted while the results were made, without another scan
+    summary = {**seen.get, **done.get, "seconds": round(time.time() - began, 3)}
+    spark.createDataFrame([(json.dumps(summary),)], "value string").coalesce(1).write.text(f"{project_path}/log/summary")
     if verbose:
-        n = reads.count()
-        print(f"{n} reads, {good.count()} annotated, {n / (time.time() - began):.1f} reads a second")
+        print(f"{summary['reads']} reads, {summary['annotated']} annotated, {summary['reads'] / summary['seconds']:.1f} reads a second")
     rows.unpersist()
+    calls.unpersist()
     return None
 
 

@@ -69,10 +69,19 @@ def group_paired_fastqs(path, schema: str = "illumina") -> dict[str, dict[str, t
     return {n: {lane: (r["R1"], r["R2"]) for lane, r in sorted(lanes.items(), key=lambda x: natural(x[0])) if len(r) == 2} for n, lanes in sorted(found.items(), key=lambda x: natural(x[0]))}
 
 
-def _trimmed(seq: str, qual: str, adapter: str | None, p: MergeParams) -> tuple[str, str]:
+def _adapter(seq: str, adapter: str | None, p: MergeParams) -> int:
+    """Where the adapter begins, the sequence's length if it isn't there: its seed, and no more than one base in eight amiss."""
     at = seq.find(adapter[: p.seed]) if adapter else -1
-    if at >= 0 and sum(a != b for a, b in zip(seq[at:], adapter)) <= min(len(adapter), len(seq) - at) // 8:
-        seq, qual = seq[:at], qual[:at]
+    while at >= 0:
+        if sum(a != b for a, b in zip(seq[at:], adapter)) <= min(len(adapter), len(seq) - at) // 8:
+            return at
+        at = seq.find(adapter[: p.seed], at + 1)
+    return len(seq)
+
+
+def _trimmed(seq: str, qual: str, adapter: str | None, p: MergeParams) -> tuple[str, str]:
+    at = _adapter(seq, adapter, p)
+    seq, qual = seq[:at], qual[:at]
     q = np.frombuffer(qual.encode("latin-1"), dtype=np.uint8).astype(int) - 33
     end = len(q)
     while end >= p.window and q[end - p.window : end].mean() < p.quality:
@@ -105,8 +114,11 @@ def merge_pair(seq1: str, qual1: str, seq2: str, qual2: str, p: MergeParams) ->
     return "".join(seq) + s2[b - at :], "".join(qual) + q2[b - at :]
 
 
-def merge_reads(first: DataFrame, second: DataFrame, params: MergeParams | None = None) -> DataFrame:
-    """Merged reads of two tables of reads with equal ids (a /1 or /2 at their ends doesn't count)."""
+OUTCOME = READS + ", bases_in long, adapters int"
+
+
+def pair_outcomes(first: DataFrame, second: DataFrame, params: MergeParams | None = None) -> DataFrame:
+    """Every pair of two tables of reads with equal ids (a /1 or /2 at their ends doesn't count): merged, or with a null sequence; its bases and adapters."""
     p = params or MergeParams()
     key = F.regexp_replace("sequence_id", r"/[12]$", "")
     cols = ["sequence_input", "quality"]
@@ -117,12 +129,18 @@ def merge_reads(first: DataFrame, second: DataFrame, params: MergeParams | None
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                got = merge_pair(r["sequence_input_1"], r["quality_1"], r["sequence_input_2"], r["quality_2"], p)
-                if got:
-                    out.append({"sequence_id": r["sequence_id"], "sequence_input": got[0], "quality": got[1]})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([(c, pa.string()) for c in ("sequence_id", "sequence_input", "quality")]))
+                s1, s2 = r["sequence_input_1"], r["sequence_input_2"]
+                got = merge_pair(s1, r["quality_1"], s2, r["quality_2"], p) or (None, None)
+                cut = sum(_adapter(s, x, p) < len(s) for s, x in zip((s1, s2), p.adapters or (None, None)))
+                out.append({"sequence_id": r["sequence_id"], "sequence_input": got[0], "quality": got[1], "bases_in": len(s1) + len(s2), "adapters": cut})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("sequence_id", pa.string()), ("sequence_input", pa.string()), ("quality", pa.string()), ("bases_in", pa.int64()), ("adapters", pa.int32())]))
 
-    return a.join(b, "sequence_id").mapInArrow(run, READS)
+    return a.join(b, "sequence_id").mapInArrow(run, OUTCOME)
+
+
+def merge_reads(first: DataFrame, second: DataFrame, params: MergeParams | None = None) -> DataFrame:
+    """The pairs that merge."""
+    return pair_outcomes(first, second, params).filter("sequence_input is not null").drop("bases_in", "adapters")
 
 
 def split_interleaved(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,13 +154,25 @@ def split_interleaved(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def merge_fastqs(spark: SparkSession, path, schema: str = "illumina", interleaved: bool = False, params: MergeParams | None = None) -> DataFrame:
     """Merged reads of all samples and lanes, with their sample."""
+    return _all_outcomes(spark, path, schema, interleaved, params).filter("sequence_input is not null").drop("bases_in", "adapters")
+
+
+def merge_report(spark: SparkSession, path, schema: str = "illumina", interleaved: bool = False, params: MergeParams | None = None) -> DataFrame:
+    """Of each sample: pairs, merged, reads cut at an adapter, bases before, bases and mean quality of what merged."""
+    rows = _all_outcomes(spark, path, schema, interleaved, params)
+    scores = F.aggregate(F.transform(F.split("quality", "(?!$)"), lambda c: F.ascii(c) - 33), F.lit(0).cast("long"), lambda a, x: a + x)
+    size = F.length("sequence_input")
+    return rows.groupBy("sample").agg(F.count(F.lit(1)).alias("pairs"), F.count("sequence_input").alias("merged"), F.sum("adapters").alias("adapters"), F.sum("bases_in").alias("bases_in"), F.sum(size).alias("bases_out"), (F.sum(scores) / F.sum(size)).alias("mean_quality"))
+
+
+def _all_outcomes(spark: SparkSession, path, schema: str, interleaved: bool, params: MergeParams | None) -> DataFrame:
     out = None
     if interleaved:
         sets = [(stem(f), split_interleaved(read_fastx(spark, f))) for f in (inputs(path) if isinstance(path, str) else path)]
     else:
         sets = [(name, tuple(read_fastx(spark, f) for f in pair)) for name, lanes in group_paired_fastqs(path, schema).items() for pair in lanes.values()]
     for name, (a, b) in sets:
-        some = merge_reads(a, b, params).withColumn("sample", F.lit(name))
+        some = pair_outcomes(a, b, params).withColumn("sample", F.lit(name))
         out = some if out is None else out.unionByName(some)
     if out is None:
         raise ValueError("no read pairs")

@@ -6,11 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from cloneweave.functions.sequence import revcomp_text
 from cloneweave.operators.align import Params, align
+from cloneweave.sources.fastx import is_path, reads_of, write_fasta, write_fastq
 
 MARK = "[UMI]"
 SCORING = Params(gap_open=-20, gap_extend=-20)
@@ -75,9 +76,23 @@ def find_umis(seq: str, ps: Sequence[UmiPattern]) -> str | None:
     return "+".join(x for x in (find_umi(seq, p) for p in ps) if x) or None
 
 
-def parse_umis(reads: DataFrame, pattern=None, length=None, mismatches: int | None = None, drop: bool = True) -> DataFrame:
-    """Reads with a ``umi`` column and, where one was found, ``_UMI`` after their id; reads without are dropped if asked."""
+def parse_umis(sequences, pattern=None, length=None, mismatches: int | None = None, drop: bool = True, output_file: str | None = None, fmt: str = "fasta", spark: SparkSession | None = None) -> DataFrame | Row | None:
+    """Reads with a ``umi`` column and, where one was found, ``_UMI`` after their id.
+
+    ``sequences`` is a table of reads, a path, an iterable, or one sequence or
+    (id, sequence) pair.  Reads without a UMI are dropped unless ``drop`` is
+    false; one sequence alone is returned as a row whatever was found.  With an
+    output file, reads are written there as FASTA or FASTQ, and None is
+    returned; input files are never changed.
+    """
     ps = patterns(pattern, length, mismatches)
+    if fmt not in ("fasta", "fastq"):
+        raise ValueError(f"fmt is fasta or fastq, not {fmt}")
+    one = isinstance(sequences, tuple) and 2 <= len(sequences) <= 3 and all(isinstance(x, str) for x in sequences) or isinstance(sequences, str) and not is_path(sequences)
+    if isinstance(sequences, DataFrame):
+        reads = sequences
+    else:
+        reads = reads_of(spark or SparkSession.builder.getOrCreate(), [sequences] if one else sequences)
 
     @F.arrow_udf("string")
     def found(seqs: pa.Array) -> pa.Array:
@@ -85,4 +100,10 @@ def parse_umis(reads: DataFrame, pattern=None, length=None, mismatches: int | No
 
     out = reads.withColumn("umi", found(F.col("sequence_input")))
     out = out.withColumn("sequence_id", F.when(F.col("umi").isNotNull(), F.concat("sequence_id", F.lit("_"), "umi")).otherwise(F.col("sequence_id")))
-    return out.filter("umi is not null") if drop else out
+    if one and not output_file:
+        return out.first()
+    out = out.filter("umi is not null") if drop else out
+    if not output_file:
+        return out
+    (write_fasta if fmt == "fasta" else write_fastq)(out, output_file)
+    return None

@@ -176,12 +176,16 @@ def read_fastx(spark: SparkSession, path: str, range_bytes: int = RANGE) -> Data
     return rows.withColumn("quality", F.regexp_replace(F.coalesce("quality", F.lit("")), "^[\"']", "#"))
 
 
+def is_path(text: str) -> bool:
+    return os.path.exists(text) or bool(re.match(r"\w+:/", text))
+
+
 def reads_of(spark: SparkSession, sequences) -> DataFrame:
     """Reads of a path, of one sequence, or of an iterable of sequences or (id, sequence[, quality]) tuples."""
     if isinstance(sequences, DataFrame):
         return sequences
     if isinstance(sequences, str):
-        if os.path.exists(sequences) or re.match(r"\w+:/", sequences):
+        if is_path(sequences):
             return read_fastx(spark, sequences)
         sequences = [sequences]
     try:

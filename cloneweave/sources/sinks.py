@@ -1,29 +1,37 @@
-"""Result sinks."""
+"""Result sinks: of rows that have a sample, a folder for each."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 
+def _writer(rows: DataFrame) -> DataFrameWriter:
+    return rows.write.partitionBy("sample") if "sample" in rows.columns else rows.write
+
+
+def _chosen(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(*columns, *(c for c in rows.columns if c == "sample"))
+
+
 def write_airr(rows: DataFrame, path: str, single: bool = False) -> None:
-    """Tab-separated with a header; a folder for each sample if the rows have one."""
-    rows = rows.coalesce(1) if single else rows
-    writer = rows.write.option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "")
-    (writer.partitionBy("sample") if "sample" in rows.columns else writer).csv(path)
+    """Tab-separated with a header; one file a sample if ``single``."""
+    if single:
+        rows = rows.repartition("sample") if "sample" in rows.columns else rows.coalesce(1)
+    _writer(rows).option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
 
 
 def write_parquet(rows: DataFrame, path: str) -> None:
-    (rows.write.partitionBy("sample") if "sample" in rows.columns else rows.write).parquet(path)
+    _writer(rows).parquet(path)
 
 
 def write_unassigned(rows: DataFrame, path: str) -> None:
-    rows.select("sequence_id", "sequence_input").write.option("header", True).csv(path)
+    _writer(_chosen(rows, "sequence_id", "sequence_input")).option("header", True).csv(path)
 
 
 def write_log(rows: DataFrame, path: str) -> None:
     """Reads that failed, and why."""
-    rows.select("sequence_id", "error").write.option("header", True).csv(path)
+    _writer(_chosen(rows, "sequence_id", "error")).option("header", True).csv(path)
 
 
 def usage(rows: DataFrame, column: str = "v_gene") -> DataFrame:

@@ -13,7 +13,7 @@ def annotate_stream(reads: DataFrame, germline: DataFrame, path: str, checkpoint
     """Start a query that writes annotated rows as Parquet, a folder for each batch, so that a repeated batch replaces its own."""
 
     def each(batch: DataFrame, number: int) -> None:
-        rows, _ = annotate_reads(batch, germline, params)
+        rows, _ = annotate_reads(batch, germline, params)  # nothing is persisted, so nothing is left behind
         rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return reads.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

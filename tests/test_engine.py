@@ -151,6 +151,19 @@ def test_umis(spark):
     assert parse_umis(rows, "ATGC[UMI]", 4, 0, drop=False).count() == 3
 
 
+def test_umis_of_files_and_sequences(spark, tmp_path):
+    (tmp_path / "in.fasta").write_text(">s1\nATGCAAAA\n>s2\nATGCGGGG\n>s3\nCC\n")
+    assert parse_umis(str(tmp_path / "in.fasta"), "ATGC[UMI]", 4, 0, output_file=str(tmp_path / "out")) is None
+    assert sorted((r[0], r[1]) for r in fastx.read_fastx(spark, str(tmp_path / "in.fasta")).collect())[0] == ("s1", "ATGCAAAA")
+    lines = sorted(x for f in (tmp_path / "out").glob("part*") for x in f.read_text().split())
+    assert lines == [">s1_AAAA", ">s2_GGGG", "ATGCAAAA", "ATGCGGGG"]
+    got = parse_umis([("a", "ATGCAAAA"), ("b", "CC")], "ATGC[UMI]", 4, 0)
+    assert [(r["sequence_id"], r["umi"]) for r in got.collect()] == [("a_AAAA", "AAAA")]
+    assert parse_umis("ATGCTTTT", "ATGC[UMI]", 4, 0)["umi"] == "TTTT" and parse_umis(("x", "CC"), "ATGC[UMI]", 4, 0)["umi"] is None
+    with pytest.raises(ValueError):
+        parse_umis("ATGC", "ATGC[UMI]", 4, fmt="xml")
+
+
 def test_merging(spark, tmp_path):
     import random
 
@@ -164,6 +177,10 @@ def test_merging(spark, tmp_path):
     groups = M.group_paired_fastqs(str(tmp_path))
     assert list(groups) == ["my_run"] and list(groups["my_run"]) == ["L001", "L002"]
     assert {r["sequence_id"]: r["sequence_input"] for r in M.merge_fastqs(spark, str(tmp_path)).collect()} == whole
+    (report,) = M.merge_report(spark, str(tmp_path)).collect()
+    assert (report["sample"], report["pairs"], report["merged"], report["bases_in"], report["bases_out"], report["mean_quality"]) == ("my_run", 20, 20, 2600, 1800, 40.0)
+    seeds = M.TRUSEQ[0][:8]
+    assert M._adapter("ACGT" + seeds + "C" * 25 + M.TRUSEQ[0], M.TRUSEQ[0], M.MergeParams()) == 37
     assert M.merge_pair("A" * 40, "I" * 40, "C" * 40, "I" * 40, M.MergeParams()) is None
     (tmp_path / "inter.fastq").write_text("".join(f"@{n}/{k}\n{s}\n+\n{'I' * len(s)}\n" for n, x in whole.items() for k, s in ((1, x[:65]), (2, revcomp_text(x[25:])))))
     assert {r["sequence_id"]: r["sequence_input"] for r in M.merge_fastqs(spark, [str(tmp_path / "inter.fastq")], interleaved=True).collect()} == whole
@@ -181,6 +198,67 @@ def test_run_and_sinks(spark, tmp_path):
     assert one["sequence_id"] == "q0" and one["germline_database"] == "custom"
 
 
+def test_samples_and_summary(spark, tmp_path, capsys):
+    germ, genes = Y.germline(spark), Y.genes()
+    (tmp_path / "in").mkdir()
+    for name, keys in (("one", (1, 2)), ("two", (2, 3, 4))):
+        (tmp_path / "in" / f"{name}.fasta").write_text("".join(f">q{k}\n{Y.read(k, genes)['sequence_input']}\n" for k in keys) + f">none\n{'ACGT' * 10}\n")
+    api.run(spark, str(tmp_path / "in"), str(tmp_path / "out"), germ, output_format=("airr", "parquet"), verbose=True)
+    for kind in ("airr", "parquet"):
+        assert sorted(p.name for p in (tmp_path / "out" / kind).iterdir() if p.is_dir()) == ["sample=one", "sample=two"]
+    rows = spark.read.parquet(str(tmp_path / "out/parquet")).collect()
+    assert sorted((r["sample"], r["sequence_id"]) for r in rows) == [("one", "q1"), ("one", "q2"), ("two", "q2"), ("two", "q3"), ("two", "q4")]
+    assert spark.read.option("header", True).csv(str(tmp_path / "out/unassigned")).count() == 2
+    summary = json.loads(spark.read.text(str(tmp_path / "out/log/summary")).first()[0])
+    assert (summary["reads"], summary["annotated"]) == (7, 5) and "7 reads, 5 annotated" in capsys.readouterr().out
+
+
+def test_interleaved_alone_merges(spark, tmp_path):
+    germ = Y.germline(spark)
+    s = Y.read(5, Y.genes())["sequence_input"]
+    cut = len(s) // 2 + 40
+    (tmp_path / "x.fastq").write_text("".join(f"@p/{k}\n{x}\n+\n{'I' * len(x)}\n" for k, x in ((1, s[:cut]), (2, revcomp_text(s[-cut:])))))
+    (row,) = api.run(spark, str(tmp_path / "x.fastq"), germline_database=germ, interleaved_fastq=True).collect()
+    assert row["sequence_input"] == s and row["sample"] == "x"
+
+
+def test_another_assigner(spark):
+    germ, genes = Y.germline(spark), Y.genes()
+    r = Y.read(1, genes)
+
+    def told(reads, germline):
+        calls = {"v_call": r["v"], "j_call": r["j"], "d_call": r["d"], "c_call": None}
+        out = reads.withColumn("rev_comp", F.lit(r["rev_comp"]))
+        for seg in "vdjc":
+            out = out.withColumn(f"{seg}_call", F.lit(calls[f"{seg}_call"]).cast("string")).withColumn(f"{seg}_support", F.lit(0.0))
+        return out
+
+    (row,) = api.run(spark, [("a", r["sequence_input"])], germline_database=germ, assigner=told).collect()
+    assert row["v_gene"] == r["v"].split("*")[0] and row["v_support"] == 0.0
+
+
+def test_recall_of_mutated_genes():
+    """Share of planted genes found again, by mutated bases of the gene in the read."""
+    import random
+
+    rng, genes = random.Random(12), Y.genes()
+    least = {("j", 0): 1.0, ("j", 3): 0.97, ("j", 6): 0.9, ("d", 0): 0.97, ("d", 2): 0.9, ("d", 4): 0.7, ("v", 30): 0.97}
+    for (seg, changes), share in least.items():
+        params = {"v": G.V, "j": G.J, "d": G.D}[seg]
+        mine = [(a, s) for x, a, s, _ in genes if x == seg]
+        index, queries, want = G.Index(mine, params), [], []
+        for _ in range(150):
+            a, s = rng.choice(mine)
+            t = list(s)
+            for i in rng.sample(range(len(t)), changes):
+                t[i] = rng.choice([b for b in "ACGT" if b != t[i]])
+            pad = lambda: "".join(rng.choice("ACGT") for _ in range(rng.randint(0, 10)))
+            queries.append(pad() + "".join(t) + pad())
+            want.append(a.split("*")[0])
+        found = [G.best(h) for h in G.hits(queries, index)]
+        assert sum(h is not None and h.target.split("*")[0] == w for h, w in zip(found, want)) / 150 >= share, (seg, changes)
+
+
 def test_sql_functions(spark):
     api.register(spark)
     assert tuple(spark.sql("SELECT revcomp('AACG'), translate_nt('ATGTAA', 1), translate_nt('A', 1)").first()) == ("CGTT", "M*", "")
