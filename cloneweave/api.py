@@ -78,6 +78,7 @@ def run(
     if copy_inputs_to_project and project_path:
         reads.write.parquet(f"{project_path}/input")
         reads = spark.read.parquet(f"{project_path}/input")
+    reads = assign.spread(reads)
     umis = () if umi_pattern is None and umi_length is None else patterns(umi_pattern, umi_length)
     params = A.AnnotateParams(germline_database=name, umis=umis)
     if not project_path:

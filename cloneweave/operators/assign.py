@@ -271,6 +271,12 @@ def assign(reads: DataFrame, germline: DataFrame) -> DataFrame:
     return reads.select("sequence_id", "sequence_input", "quality", *more).mapInArrow(run, schema)
 
 
+def spread(reads: DataFrame) -> DataFrame:
+    """Reads over as many tasks as there are cores, at least: a read's searches cost far more than to move it, and a gzip file is one task."""
+    n = reads.sparkSession.sparkContext.defaultParallelism
+    return reads.repartition(n) if reads.rdd.getNumPartitions() < n else reads
+
+
 def assigned(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("v_call").isNotNull() & F.col("j_call").isNotNull())
 

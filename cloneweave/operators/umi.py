@@ -45,22 +45,27 @@ def patterns(pattern: str | Sequence[str] | None, length: int | Sequence[int] |
     return tuple(UmiPattern(x, n, 1 if mismatches is None else mismatches) for x, n in zip(ps, ls))
 
 
-def _flank(seq: str, flank: str, most: int):
-    (a,) = align([(flank, seq)], "local", SCORING)
-    return a if len(flank) - a.identities <= most and a.score > 0 else None
+def _flanks(seqs: list[str], flank: str, most: int) -> list:
+    """Alignments of a flank with each sequence, None where it has more mismatches; all Nones for an empty flank."""
+    if not flank:
+        return [None] * len(seqs)
+    found = iter(align([(flank, s) for s in seqs if s], "local", SCORING))
+    out = [next(found) if s else None for s in seqs]
+    return [a if a and len(flank) - a.identities <= most and a.score > 0 else None for a in out]
 
 
-def find_umi(seq: str, p: UmiPattern) -> str | None:
+def find_all(seqs: Sequence[str], p: UmiPattern) -> list[str | None]:
+    """The pattern's UMI of each sequence; flanks of all are aligned in batches."""
     if p.pattern is None:
-        return (seq[: p.length] if p.length >= 0 else seq[p.length :]) or None
-    seq = revcomp_text(seq) if p.length is not None and p.length < 0 else seq
+        return [(s[: p.length] if p.length >= 0 else s[p.length :]) or None for s in seqs]
+    seqs = [revcomp_text(s) if p.length is not None and p.length < 0 else s for s in seqs]
     lead, _, trail = p.pattern.upper().partition(MARK)
     n = None if p.length is None else abs(p.length)
-    if not seq:
-        return None
-    a = _flank(seq, lead, p.mismatches) if lead else None
-    b = _flank(seq, trail, p.mismatches) if trail else None
-    if (lead and a is None) or (trail and b is None):
+    return [_between(s, lead, a, trail, b, n) for s, a, b in zip(seqs, _flanks(seqs, lead, p.mismatches), _flanks(seqs, trail, p.mismatches))]
+
+
+def _between(seq: str, lead: str, a, trail: str, b, n: int | None) -> str | None:
+    if not seq or (lead and a is None) or (trail and b is None):
         return None
     if lead and trail:
         return seq[a.target_end + 1 : b.target_begin] or None
@@ -71,9 +76,17 @@ def find_umi(seq: str, p: UmiPattern) -> str | None:
     return seq[start : b.target_begin] or None if start >= 0 else None
 
 
+def find_umi(seq: str, p: UmiPattern) -> str | None:
+    return find_all([seq], p)[0]
+
+
+def find_all_umis(seqs: Sequence[str], ps: Sequence[UmiPattern]) -> list[str | None]:
+    """UMIs of all patterns that a sequence has one of, with + between."""
+    return ["+".join(x for x in found if x) or None for found in zip(*(find_all(seqs, p) for p in ps))]
+
+
 def find_umis(seq: str, ps: Sequence[UmiPattern]) -> str | None:
-    """UMIs of all patterns that have one, with + between."""
-    return "+".join(x for x in (find_umi(seq, p) for p in ps) if x) or None
+    return find_all_umis([seq], ps)[0]
 
 
 def parse_umis(sequences, pattern=None, length=None, mismatches: int | None = None, drop: bool = True, output_file: str | None = None, fmt: str = "fasta", spark: SparkSession | None = None) -> DataFrame | Row | None:
@@ -96,7 +109,7 @@ def parse_umis(sequences, pattern=None, length=None, mismatches: int | None = No
 
     @F.arrow_udf("string")
     def found(seqs: pa.Array) -> pa.Array:
-        return pa.array([None if s is None else find_umis(s.upper(), ps) for s in seqs.to_pylist()], pa.string())
+        return pa.array(find_all_umis([(s or "").upper() for s in seqs.to_pylist()], ps), pa.string())
 
     out = reads.withColumn("umi", found(F.col("sequence_input")))
     out = out.withColumn("sequence_id", F.when(F.col("umi").isNotNull(), F.concat("sequence_id", F.lit("_"), "umi")).otherwise(F.col("sequence_id")))

@@ -22,7 +22,6 @@ from cloneweave.operators import annotate as A
 from cloneweave.operators import assign as G
 from cloneweave.operators import merge as M
 from cloneweave.operators.align import Params, align
-from cloneweave.operators.umi import parse_umis
 from cloneweave.plans import synthetic as Y
 from cloneweave.sources import germline as D
 
@@ -471,25 +470,11 @@ for _mode in ("local", "semiglobal", "global"):
     _aligned(_mode)
 
 
-@query("umi_aligned")
-def umi_aligned(spark, sf_dir):
-    reads = _umi(spark, sf_dir).select(F.col("o_orderkey").cast("string").alias("sequence_id"), F.col("s").alias("sequence_input"), F.lit("").alias("quality"))
-    return parse_umis(reads, "ACGTAC[UMI]", 8)
-
-
-@query("merge_overlap")
-def merge_overlap(spark, sf_dir):
-    """Pairs cut from each customer's sequence, merged again."""
-    s = F.translate(digits(F.col("c_custkey")), HEX, PLAIN)
-    cut = lambda c: table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("sequence_id"), c.alias("sequence_input"), F.repeat(F.lit("I"), F.length(c)).alias("quality"))
-    return M.merge_reads(cut(F.substring(s, 1, 50)), cut(S.revcomp(F.substring(s, 15, 50))), M.MergeParams(adapters=None))
-
-
 @query("assign")
 def assign(spark, sf_dir):
     """A read for each benchmark item, assigned against the synthetic germline."""
     reads = Y.reads(table(spark, sf_dir, "benchmark"), "item_id").select("sequence_id", "sequence_input", "quality")
-    return G.assign(reads, Y.germline(spark))
+    return G.assign(G.spread(reads), Y.germline(spark))
 
 
 @query("annotate")
@@ -498,8 +483,4 @@ def annotate(spark, sf_dir):
     return A.annotate(G.assigned(assign(spark, sf_dir)), Y.germline(spark), A.AnnotateParams(germline_database="synthetic"))
 
 
-@query("gene_usage")
-def gene_usage(spark, sf_dir):
-    from cloneweave.sources.sinks import usage
-
-    return usage(A.succeeded(annotate(spark, sf_dir)))
+from cloneweave.plans import truth as _truth  # noqa: E402,F401  registers its queries here
