@@ -56,7 +56,7 @@ class JoinParams:
     den: int = 100
     sketch_bits: int = 20
     slice_bits: int = 14
-    tile: int = 1024  # nodes of a tile's side at most
+    tile: int = 2048  # nodes of a tile's side at most
     pivots: int = 8  # of a group of several tiles
     tile_shingles: int = 1 << 21
     least_bits: int = 64
@@ -207,9 +207,17 @@ def _count(p: JoinParams, rows: Column | None = None):
 
 
 def counted(rows: DataFrame, group: str, p: JoinParams) -> DataFrame:
-    """Rows (group, node, n) with _all, the tiles that their group needs."""
-    whole = rows.groupBy(F.col(group).alias("_w")).agg(_count(p).alias("_all"))
-    return rows.join(whole, F.col(group) == F.col("_w")).drop("_w")
+    """Rows (group, node, n) with _all, the tiles that their group needs.
+
+    Only groups of several tiles are joined, so that no group's rows are brought together for it.
+    """
+    whole = rows.groupBy(F.col(group).alias("_w")).agg(_count(p).alias("_all")).filter("_all > 1")
+    return rows.join(_light(staged(whole, "large"), p), F.col(group) == F.col("_w"), "left").drop("_w").withColumn("_all", F.coalesce("_all", F.lit(1)))
+
+
+def _light(rows: DataFrame, p: JoinParams) -> DataFrame:
+    """A table about large groups, of far fewer rows than they have: broadcast while its size allows."""
+    return F.broadcast(rows) if rows.count() <= p.broadcast_rows else rows
 
 
 def _tile(rows: DataFrame, group: str, g, c1, c2, side, high=None, label=None) -> DataFrame:
@@ -239,12 +247,12 @@ def rest_tiles(large: DataFrame, group: str, roots: DataFrame, p: JoinParams) ->
     rows = rows.withColumn("_label", F.coalesce("_root", "node")).drop("_node", "_root")
     parts = rows.groupBy(F.col(group).alias("_w"), F.col("_label").alias("_v")).agg(F.count(F.lit(1)).alias("_m"))
     parts = parts.groupBy("_w").agg(F.max(F.struct("_m", "_v")).alias("_x")).select("_w", F.col("_x._v").alias("_main"))
-    rows = rows.join(parts, F.col(group) == F.col("_w")).withColumn("_rest", F.col("_label") != F.col("_main")).drop("_w", "_main")
+    rows = rows.join(_light(staged(parts, "parts"), p), F.col(group) == F.col("_w")).withColumn("_rest", F.col("_label") != F.col("_main")).drop("_w", "_main")
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(p.den / p.num))
     both = F.array(F.struct(band.alias("g"), F.lit(False).alias("high")), F.struct((band - 1).alias("g"), F.lit(True).alias("high")))
     rows = rows.withColumn("_b", F.explode(both)).withColumns({"_g": F.col("_b.g"), "_high": F.col("_b.high")}).drop("_b")
     chunks = rows.groupBy(F.col(group).alias("_w"), F.col("_g").alias("_v")).agg(_count(p).alias("_all"), F.coalesce(_count(p, F.col("_rest")), F.lit(0)).alias("_some")).filter("_some > 0")
-    rows = rows.join(chunks, (F.col(group) == F.col("_w")) & (F.col("_g") == F.col("_v"))).drop("_w", "_v")
+    rows = rows.join(_light(staged(chunks, "chunks"), p), (F.col(group) == F.col("_w")) & (F.col("_g") == F.col("_v"))).drop("_w", "_v")
     mine = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     every = rows.withColumns({"_mine": mine("_all"), "_o": each("_some")})
