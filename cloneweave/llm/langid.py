@@ -15,7 +15,7 @@ Defined results: ``und`` with score 0 for texts that are null or without a
 letter, and for all where no language was learned; ties go to the first
 language in code point order.  Repeated rows are learned once; rows of null id
 or language teach nothing; an id's several texts each count; an empty table
-gives no rows.  Columns ``lang_pred``, ``lang_score`` and ``_lettered`` of the
+gives no rows.  Columns ``lang_pred``, ``lang_score`` and ``_lang`` of the
 input are replaced or left out; all others stay.
 """
 
@@ -47,7 +47,7 @@ class LangParams:
     per_lang: int = 300
     ridge: float = 1e-3
     sharpness: float = 6.0
-    block: int = 128
+    block: int = 64  # presence rows that are dense at a time
 
 
 def presence(texts: pa.Array, p: LangParams):
@@ -73,7 +73,7 @@ def presence(texts: pa.Array, p: LangParams):
 
 def normal(rows: np.ndarray) -> np.ndarray:
     """Rows of length 1, so that a product of two is the kernel."""
-    rows = rows.astype(np.float32)
+    rows = rows.astype(np.float32, copy=False)
     rows /= np.maximum(np.sqrt(rows.sum(1)), 1)[:, None]
     return rows
 
@@ -157,16 +157,18 @@ def identify(documents: DataFrame, model, id_col: str = "doc_id", text_col: str
     """All columns of ``documents`` with lang_pred and lang_score beside them, in place of columns of these names."""
     p = params or LangParams()
     shared = documents.sparkSession.sparkContext.broadcast(model)  # bits of bins x landmarks, whatever the input
-    documents = documents.drop("lang_pred", "lang_score", "_lettered")
-    rows = documents.withColumn("_lettered", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
-
-    def run(batches):
-        names, bits, weights = shared.value
-        dense = names, unpacked(bits).T.copy(), weights
-        for b in batches:
-            langs, scores = predict(b.column(text_col), b.column("_lettered").to_numpy(zero_copy_only=False), dense, p)
-            keep = [n for n in b.schema.names if n != "_lettered"]
-            yield pa.record_batch([b.column(n) for n in keep] + [pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "lang_score"])
-
-    schema = T.StructType([*documents.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
-    return rows.mapInArrow(run, schema)
+    kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
+    dense: list[tuple] = []  # once a task
+
+    @F.arrow_udf(kind)
+    def found(texts: pa.Array, lettered: pa.Array) -> pa.Array:
+        if not dense:
+            names, bits, weights = shared.value
+            dense.append((names, unpacked(bits).T.copy(), weights))
+        langs, scores = predict(texts, lettered.to_numpy(zero_copy_only=False), dense[0], p)
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
+
+    # only the text goes to Python; the other columns stay in the JVM
+    lettered = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    rows = documents.drop("lang_pred", "lang_score", "_lang").withColumn("_lang", found(F.col(text_col), lettered))
+    return rows.withColumns({"lang_pred": F.col("_lang.lang"), "lang_score": F.col("_lang.score")}).drop("_lang")
