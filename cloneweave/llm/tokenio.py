@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +47,8 @@ class TokenParams:
     tokenizer: str = ""  # path of a tokenizers JSON file
     end_id: int = 1
     cache: int = 1 << 20  # words a worker remembers
-    longest: int = 64  # bytes of a word that is remembered
+    longest: int = 64  # characters of a word that is remembered
+    chunk_bytes: int = 4 << 20  # text whose words are numbered at once
     read_bytes: int = 32 << 20
 
 
@@ -77,11 +79,12 @@ class Encoder:
     """Encodes whole texts with the tokenizers library, each distinct word once.
 
     White space always ends a token of the tokenizer's splitter and leaves
-    none, so a text's ids are its words' ids in order.  A letter before a final
-    full stop or comma ends a token too.  Texts that hold a special token's
-    string, in small letters or capitals, are encoded whole, and so are all
-    texts where the tokenizer's normalizer or splitter is another than these.
-    ``whole`` is the plain way, for tests.
+    none, so a text's ids are its words' ids in order.  Arrow splits the texts
+    and numbers their words, and numpy puts the words' ids in the texts' order.
+    A letter before a final full stop or comma ends a token too.  Texts that
+    hold a special token's string, in small letters or capitals, are encoded
+    whole, and so are all texts where the tokenizer's normalizer or splitter is
+    another than these.  ``whole`` is the plain way, for tests.
     """
 
     def __init__(self, path: str, p: TokenParams):
@@ -90,58 +93,110 @@ class Encoder:
         self.tokenizer, self.p, self.cache = Tokenizer.from_file(path), p, {}
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
-        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.by_word = spec.get("normalizer") == NORMALIZER and spec.get("pre_tokenizer") == SPLITTER and spec["model"].get("type") == "BPE"
+        suffix = spec["model"].get("end_of_word_suffix")
+        last = {token: i for token, i in self.tokenizer.get_vocab().items() if suffix and token.endswith(suffix)}
+        self.ends = np.zeros(max(1 << 16, self.tokenizer.get_vocab_size(with_added_tokens=True)), dtype=bool)
+        if sum(len(token) == len(suffix) + 1 for token in last) == 256:  # any byte can end a word
+            self.ends[list(last.values())] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def learn(self, words: set[bytes], wait: list[tuple[int, list[bytes]]]) -> None:
-        """Adds ``words``; where the cache is full, it keeps of the others only those of the documents in ``wait``."""
+    def _fast(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of each word.  Words of letters only are encoded a line at a time.
+
+        Each of them has at least one last token, marked by the vocabulary's
+        suffix; where a line has as many of these as words, it is cut there,
+        and otherwise its words are encoded one by one.
+        """
+        out, longest = {}, self.p.longest
+        letters = [w for w in words if w.isalpha() and len(w) <= longest]
+        single = [w for w in words if not w.isalpha() or len(w) > longest]
+        lines = [letters[i : i + 256] for i in range(0, len(letters), 256)]
+        for first in range(0, len(lines), 16):
+            some = lines[first : first + 16]
+            for line, ids in zip(some, self._fast([" ".join(line) for line in some])):
+                cuts = np.flatnonzero(self.ends[ids])
+                if len(cuts) != len(line) or cuts[-1] != len(ids) - 1:
+                    single += line
+                    continue
+                flat, cuts = ids.tobytes(), ((cuts + 1) * self.width).tolist()
+                out.update(zip(line, [flat[a:b] for a, b in zip([0, *cuts], cuts)]))
+        for first in range(0, len(single), 4096):
+            some = single[first : first + 4096]
+            out.update(zip(some, (ids.tobytes() for ids in self._fast(some))))
+        return out
+
+    def learn(self, words: list[str]) -> list[bytes]:
+        """Ids of words that the cache lacks; it remembers them, and is emptied where it would hold more than it may."""
         if len(self.cache) + len(words) > self.p.cache:
-            self.cache = {w: self.cache[w] for _, those in wait for w in those if w in self.cache}
-        get, stems = self.cache.__getitem__, {}
-        for w in words:
-            cut = len(w) > 1 and w[-1] in b".," and w[-2:-1].isalpha()
-            stems[w] = (w[:-1], w[-1:]) if cut else (w,)
-        new = list({x for parts in stems.values() for x in parts if x not in self.cache})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast([x.decode() for x in some], add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-        for w, parts in stems.items():
-            if len(parts) > 1:
-                self.cache[w] = get(parts[0]) + get(parts[1])
-
-    def batch(self, texts: list[str | None]) -> list[bytes]:
-        out, wait = [b""] * len(texts), []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            low = text.encode().lower() if self.by_word else b""
-            if not self.by_word or any(x in low for x in self.special):
-                out[i] = self.whole(text)
-            else:
-                wait.append((i, low.split()))
-            if len(wait) == 512:
-                self._join(wait, out)
-                wait = []
-        self._join(wait, out)
+            self.cache = {}
+        cache = self.cache
+        tails = [w[-1] if w.endswith((".", ",")) and w[-2:-1] < "\u0250" and w[-2:-1].isalpha() else "" for w in words]
+        heads = [w[:-1] if tail else w for w, tail in zip(words, tails)]
+        cache.update(self.encoded([w for w in {*heads, *tails} if w not in cache]))
+        out = [cache[head] + cache[tail] if tail else cache[head] for head, tail in zip(heads, tails)]
+        cache.update(zip(words, out))
+        for some in (words, heads):
+            for w in some:
+                if len(w) > self.p.longest:
+                    cache.pop(w, None)
+        if len(cache) > self.p.cache:
+            self.cache = {}
         return out
 
-    def _join(self, wait, out) -> None:
-        longest = self.p.longest
-        missing = {w for _, words in wait for w in words if w not in self.cache}
-        long = {w for w in missing if len(w) > longest}
-        self.learn(missing - long, wait)
-        once = {w: self.whole(w.decode()) for w in long}
-        for i, words in wait:
-            try:
-                out[i] = b"".join(map(self.cache.__getitem__, words))
-            except KeyError:  # a long word
-                out[i] = b"".join(once[w] if w in once else self.cache[w] for w in words)
+    def batch(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not self.by_word:
+            return [self.whole(x) if x else b"" for x in texts.to_pylist()]
+        size, out, first = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64), [], 0
+        upto = np.cumsum(size)
+        while first < len(texts):  # about chunk_bytes at a time, and one text at least
+            begin = upto[first] - size[first]
+            n = max(1, int(np.searchsorted(upto, begin + self.p.chunk_bytes, "right")) - first)
+            out += self._chunk(texts.slice(first, n))
+            first += n
+        return out
+
+    def _chunk(self, texts: pa.Array) -> list[bytes]:
+        low = pc.ascii_lower(pc.fill_null(texts, ""))
+        special = np.zeros(len(low), dtype=bool)
+        for x in self.special:
+            special |= pc.match_substring(low, x).to_numpy(zero_copy_only=False)
+        if special.any():
+            low = pc.if_else(pa.array(special), "", low)
+        split = pc.ascii_split_whitespace(low)
+        numbered = split.flatten().dictionary_encode()
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        found = list(map(self.cache.get, words))
+        lacking = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(lacking, self.learn([words[i] for i in lacking]) if lacking else ()):
+            found[i] = ids
+        ids = np.frombuffer(b"".join(found), dtype=self.dtype)
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // self.width
+        starts = np.cumsum(sizes) - sizes
+        word = numbered.indices.to_numpy(zero_copy_only=False)
+        upto, parts = np.concatenate([[0], np.cumsum(sizes[word])]), []
+        for i in range(0, len(word), 1 << 20):  # words; a single text may have very many
+            some = word[i : i + (1 << 20)]
+            each = sizes[some]
+            place = np.repeat(starts[some] - (upto[i : i + len(some)] - upto[i]), each)
+            place += np.arange(len(place))
+            parts.append(ids[place].tobytes())
+        flat = b"".join(parts)
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        bounds = [0, *(upto[ends] * self.width).tolist()]
+        out = [flat[a:b] for a, b in zip(bounds, bounds[1:])]
+        for i in np.flatnonzero(special).tolist():
+            out[i] = self.whole(texts[i].as_py())
+        return out
 
 
 def encoder(path: str, p: TokenParams) -> Encoder:
@@ -169,7 +224,7 @@ def write_records(documents: DataFrame, params: TokenParams, id_col: str = "doc_
                     out = blobs.writer(name)
                 keys, rec = b["doc_id"].to_pylist(), []
                 for first in range(0, len(keys), 1024):
-                    for key, ids in zip(keys[first : first + 1024], enc.batch(b["text"].slice(first, 1024).to_pylist())):
+                    for key, ids in zip(keys[first : first + 1024], enc.batch(b["text"].slice(first, 1024))):
                         ids += end
                         data = frame(b"".join((bytes([key is None]), (key or 0).to_bytes(8, "little", signed=True), bytes([enc.width]), ids)))
                         out.write(data)

@@ -740,6 +740,19 @@ def test_encoder_of_texts_with_special_strings():
     assert e.batch(texts) == [e.whole(t) for t in texts]
 
 
+def test_encoder_of_any_letters():
+    """Words of letters of all scripts, marks and digits, over chunks of a few texts; lines that can't be cut by their last tokens too."""
+    rng = random.Random(9)
+    planes = [(0x61, 0x7B), (0xC0, 0x250), (0x370, 0x530), (0x5D0, 0x700), (0x900, 0xE00), (0x1C80, 0x2000), (0x2160, 0x2190), (0x3040, 0x4E40), (0xA640, 0xABC0), (0xAC00, 0xAC80), (0xFB00, 0xFDD0), (0x10400, 0x10500), (0x1E900, 0x1E960), (0x30, 0x3A), (0x300, 0x370)]
+    texts = []
+    for _ in range(400):
+        low, high = rng.choice(planes)
+        texts.append(" ".join("".join(chr(rng.randrange(low, high)) for _ in range(rng.randint(1, 5))) + rng.choice(["", "", ".", ","]) for _ in range(rng.randint(0, 60))))
+    for change in ({"chunk_bytes": 300}, {"cache": 1 << 20, "longest": 64}):
+        e = tokenio.Encoder(tokens().tokenizer, tokenio.TokenParams(**(tokens().__dict__ | change)))
+        assert e.ends.any() and e.batch([None, *texts, ""]) == [b"", *(e.whole(t) for t in texts), b""]
+
+
 def test_encoder_of_another_tokenizer():
     import public_tokenizers
 
