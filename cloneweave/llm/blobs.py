@@ -1,4 +1,8 @@
-"""Files in the shared folder, from executors: any store that pyarrow can open by URI."""
+"""Files in the shared folder, from executors: any store that pyarrow can open by URI.
+
+Hadoop's names of S3 (``s3a``, ``s3n``) are pyarrow's ``s3``; region, endpoint
+and credentials come from the executors' environment, not from Hadoop's settings.
+"""
 
 from __future__ import annotations
 
@@ -8,11 +12,18 @@ import uuid
 from pyarrow import fs
 
 
-def opened(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a URI; a Hadoop path of one local slash (file:/x) counts as file:///x."""
+def plain_uri(uri: str) -> str:
+    """A Hadoop path as pyarrow writes it: one local slash (file:/x) is file:///x, s3a and s3n are s3."""
     if uri.startswith("file:") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return fs.FileSystem.from_uri(uri)
+        return "file://" + uri[5:]
+    if uri.startswith(("s3a://", "s3n://")):
+        return "s3" + uri[3:]
+    return uri
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a URI."""
+    return fs.FileSystem.from_uri(plain_uri(uri))
 
 
 def attempt_name(folder: str, part: int, suffix: str) -> str:

@@ -85,6 +85,23 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join_components(table(spark, sf_dir, "documents"), jaccard.JoinParams(k=4, num=85, den=100))
 
 
+OP6_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i, len(w) AS m FROM t),
+y AS (SELECT doc_id, i, m, concat_ws(' ', x, lead(x, 1) OVER v, lead(x, 2) OVER v, lead(x, 3) OVER v) AS y FROM x WINDOW v AS (PARTITION BY doc_id ORDER BY i)),
+d AS (SELECT doc_id, count(*) AS n, md5(string_agg(y, chr(10) ORDER BY y)) AS s FROM (SELECT DISTINCT doc_id, y FROM y WHERE i <= greatest(1, m - 3)) GROUP BY doc_id),
+u AS (SELECT s, n, min(doc_id) AS node FROM d GROUP BY s, n),
+g AS (SELECT DISTINCT node, n, y AS g FROM u JOIN y ON u.node = y.doc_id WHERE i <= greatest(1, m - 3)),
+links AS (SELECT a.node AS a, b.node AS b FROM g a JOIN g b ON a.g = b.g AND a.node < b.node
+          GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+r AS (SELECT node AS a, node AS b FROM u UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS node, min(b) AS root FROM r GROUP BY a)
+SELECT t.doc_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_shingles, CAST(coalesce(root, t.doc_id) AS BIGINT) AS component_id
+FROM t LEFT JOIN d ON t.doc_id = d.doc_id LEFT JOIN u ON d.s = u.s LEFT JOIN c ON u.node = c.node
+"""
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.read_archives(spark, media.write_archives(table(spark, sf_dir, "documents"))))
 
@@ -106,6 +123,23 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+OP9_SQL = r"""
+WITH i AS (SELECT DISTINCT item_id, [x for x in string_split_regex(lower(text), '[^\p{L}\p{N}]+') if x <> ''] AS w FROM benchmark WHERE text IS NOT NULL),
+q AS (SELECT item_id, w, least(5, len(w)) AS k, len(w) - least(5, len(w)) + 1 AS m FROM i WHERE len(w) > 0),
+qg AS (SELECT item_id, w, k, m, g, count(*) AS c FROM (SELECT item_id, w, k, m, unnest([array_to_string(w[j + 1:j + k], ' ') for j in range(0, m)]) AS g FROM q) GROUP BY ALL),
+d AS (SELECT doc_id, [x for x in string_split_regex(lower(text), '[^\p{L}\p{N}]+') if x <> ''] AS w FROM documents WHERE text IS NOT NULL),
+dk AS (SELECT DISTINCT doc_id, w, k, len(w) - k + 1 AS s FROM d, (SELECT DISTINCT k FROM q) WHERE len(w) >= k),
+dg AS (SELECT doc_id, w AS dw, k, s, unnest(range(0, s)) AS p, unnest([array_to_string(w[j + 1:j + k], ' ') for j in range(0, s)]) AS g FROM dk),
+h AS (SELECT doc_id, dw, s, p, item_id, qg.w AS iw, m, g, c FROM dg JOIN qg USING (k, g)),
+a AS (SELECT DISTINCT doc_id, dw, s, item_id, iw, m, unnest(range(greatest(0, p - m + 1), least(p, greatest(0, s - m)) + 1)) AS first_word FROM h),
+n AS (SELECT doc_id, dw, item_id, iw, a.m, a.s, first_word, g, least(count(*), any_value(c)) AS o
+      FROM a JOIN h USING (doc_id, dw, item_id, iw) WHERE p BETWEEN first_word AND first_word + a.m - 1 GROUP BY doc_id, dw, item_id, iw, a.m, a.s, first_word, g),
+o AS (SELECT doc_id, item_id, first_word, CAST(sum(o) AS DOUBLE) / CAST(least(m, s) + m - sum(o) AS DOUBLE) AS similarity FROM n GROUP BY doc_id, dw, item_id, iw, m, s, first_word)
+SELECT doc_id, item_id, max(similarity) AS similarity, CAST(arg_max(first_word, (similarity, -first_word)) AS INT) AS first_word
+FROM o WHERE similarity >= 0.8 GROUP BY doc_id, item_id
+"""
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learned from text and language of rows whose remainder is not 2; every text is predicted once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -126,4 +160,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": op9_decontaminate,
     "op10_language": op10_language,
 }
-ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op3_chat": OP3_SQL}
+ORACLES: dict[str, str] = {"op2_warc": OP2_SQL, "op3_chat": OP3_SQL, "op6_jaccard": OP6_SQL, "op9_decontaminate": OP9_SQL}

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cloneweave.llm import chat, common, decontaminate, jaccard, langid, media, mixing, pii, quality, queries, textkernel, tokenio, warc
+from cloneweave.llm import blobs, chat, common, decontaminate, jaccard, langid, media, mixing, pii, quality, queries, textkernel, tokenio, warc
 from cloneweave.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -532,11 +532,16 @@ def test_language_odd(spark):
     assert {r["lang_pred"] for r in langid.identify(train, empty, params=p).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("uri, want", [("file:/a/b", "file:///a/b"), ("file:///a", "file:///a"), ("s3a://b/k", "s3://b/k"), ("s3n://b/k", "s3://b/k"), ("hdfs://h:1/x", "hdfs://h:1/x")])
+def test_paths(uri, want):
+    assert blobs.plain_uri(uri) == want
+
+
 @tables
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cur = con.execute(queries.ORACLES[name])
     names = [d[0] for d in cur.description]
