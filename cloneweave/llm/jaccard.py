@@ -78,12 +78,27 @@ def signature(s: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits((np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
 
 
-def folded(sig: bytes, bits: int) -> np.ndarray:
-    """A signature at a smaller width: parities of bits that fall together."""
-    x = np.frombuffer(sig, dtype=np.uint8)
-    while len(x) * 8 > bits:
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    return x
+def folded(sig: np.ndarray, bits: int) -> np.ndarray:
+    """Signatures (rows of bytes) at a smaller width: parities of bits that fall together."""
+    while sig.shape[1] * 8 > bits:
+        half = sig.shape[1] // 2
+        sig = sig[:, :half] ^ sig[:, half:]
+    return sig
+
+
+def levels(sigs: list[bytes]) -> dict[int, np.ndarray]:
+    """Signatures at each width that occurs, by row; of rows of that width or more, the others are 0.
+
+    So a short text in a tile does not blur the signatures of long ones.
+    """
+    bits = np.array([len(s) * 8 for s in sigs], dtype=np.int64)
+    out = {}
+    for b in np.unique(bits).tolist():
+        out[b] = np.zeros((len(sigs), b >> 3), dtype=np.uint8)
+        for wide in np.unique(bits[bits >= b]).tolist():
+            at = np.flatnonzero(bits == wide)
+            out[b][at] = folded(np.frombuffer(b"".join(sigs[i] for i in at.tolist()), dtype=np.uint8).reshape(len(at), -1), b)
+    return out
 
 
 def allowed(n: int, sizes: np.ndarray, apart: np.ndarray | int, p: JoinParams) -> np.ndarray:
@@ -92,14 +107,15 @@ def allowed(n: int, sizes: np.ndarray, apart: np.ndarray | int, p: JoinParams) -
     return p.den * overlap >= p.num * (n + sizes - overlap)
 
 
-def forest(sizes: np.ndarray, sigs: np.ndarray, p: JoinParams, able=None, exact=None, labels: np.ndarray | None = None):
+def forest(sizes: np.ndarray, sigs: list[bytes], p: JoinParams, able=None, exact=None, labels: np.ndarray | None = None):
     """A number for each row, the same for rows that allowed (and, if given, ``exact``) pairs connect; rows are in size order.
 
+    A pair is compared at the width of the smallest set that may link with its larger one.
     ``able(i, j...)`` may forbid pairs that another tile compares; rows of equal ``labels`` are connected from the start.
     """
     root = np.arange(len(sizes)) if labels is None else np.unique(labels, return_index=True, return_inverse=True)[1:]
     root = root if labels is None else root[0][root[1]]
-    bits = sigs.view(np.uint64) if sigs.shape[1] % 8 == 0 else sigs
+    tables = {b: x.view(np.uint64) if x.shape[1] % 8 == 0 else x for b, x in levels(sigs).items()}
     for i in range(1, len(sizes)):
         low = int(np.searchsorted(sizes, -(-p.num * int(sizes[i]) // p.den)))
         j = low + np.flatnonzero(root[low:i] != root[i])
@@ -107,6 +123,7 @@ def forest(sizes: np.ndarray, sigs: np.ndarray, p: JoinParams, able=None, exact=
             j = j[able(i, j)]
         if not len(j):
             continue
+        bits = tables[min(len(sigs[low]), len(sigs[i])) * 8]
         apart = np.bitwise_count(bits[j] ^ bits[i]).sum(1, dtype=np.int64)
         j = j[allowed(int(sizes[i]), sizes[j], apart, p)]
         while len(j):
@@ -305,10 +322,8 @@ def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
 def _candidates(batches, p: JoinParams):
     out = []
     for _, rows in _groups(batches, ["key", *TILE]):
-        bits = min(len(r["sig"]) for r in rows) * 8
-        sigs = np.stack([folded(r["sig"], bits) for r in rows])
         sizes = np.array([r["n"] for r in rows], dtype=np.int64)
-        out += _stars([r["node"] for r in rows], forest(sizes, sigs, p, _able(rows), None, _labels(rows)))
+        out += _stars([r["node"] for r in rows], forest(sizes, [r["sig"] for r in rows], p, _able(rows), None, _labels(rows)))
         if len(out) > 8192:
             yield _edges(out)
             out = []
@@ -325,7 +340,7 @@ def _verified(batches, p: JoinParams):
         rows, sets = [rows[i] for i in mine], [sets[i] for i in mine]
         sizes = np.array([len(s) for s in sets], dtype=np.int64)
         bits = width(int(sizes.max()), p)
-        sigs = np.stack([signature(s >> np.uint64(20), bits) for s in sets])
+        sigs = [signature(s >> np.uint64(20), bits).tobytes() for s in sets]
 
         def exact(i, j):
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))

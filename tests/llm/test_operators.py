@@ -138,6 +138,25 @@ def test_rows_dealt_grow_with_the_group(spark):
         assert dealt.groupBy("_g", "_c1", "_c2").count().agg(F.max("count")).first()[0] <= 3 * p.tile
 
 
+def test_short_sets_blur_no_long_ones():
+    """Long sets that share little stay apart in a tile that holds a short one, and links are kept at every width."""
+    p, rng = jaccard.JoinParams(), np.random.default_rng(4)
+    draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+    far = [draw(5000) for _ in range(6)]
+    near = [np.concatenate([far[0][:4700], draw(100)]), np.concatenate([far[1][:4900], draw(100)])]
+    short = draw(20)
+    sets = sorted([short, np.concatenate([short[:19], draw(1)]), *far, *near], key=len)
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    sigs = [jaccard.signature(x, jaccard.width(len(x), p)).tobytes() for x in sets]
+    root = jaccard.forest(sizes, sigs, p).tolist()
+    of = {id(x): r for x, r in zip(sets, root)}
+    assert of[id(far[0])] == of[id(near[0])] and of[id(far[1])] == of[id(near[1])]
+    assert root[0] == root[1] and len(set(root)) == 7
+    for wide, narrow in ((4096, 64), (512, 512)):
+        one = jaccard.signature(far[0], wide)
+        assert (jaccard.folded(one[None], narrow)[0] == jaccard.signature(far[0], narrow)).all()
+
+
 def relinked(f):
     """A base text, two with another stretch of it rewritten each, and one with a word changed in the first of these stretches."""
     base = [f"b{f}_{i}" for i in range(203)]
