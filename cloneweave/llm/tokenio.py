@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import zlib
 from dataclasses import dataclass
 
@@ -47,6 +48,7 @@ class TokenParams:
     tokenizer: str = ""  # path of a tokenizers JSON file
     end_id: int = 1
     cache: int = 1 << 20  # words a worker remembers
+    marks: int = 1 << 23  # places at which a worker marks words that it saw once, a byte each
     longest: int = 64  # characters of a word that is remembered
     chunk_bytes: int = 4 << 20  # text whose words are numbered at once
     read_bytes: int = 32 << 20
@@ -85,12 +87,17 @@ class Encoder:
     hold a special token's string, in small letters or capitals, are encoded
     whole, and so are all texts where the tokenizer's normalizer or splitter is
     another than these.  ``whole`` is the plain way, for tests.
+
+    A worker outlives its task, and so does what it remembers: only words that
+    came twice are remembered, as most words of a corpus come once.
     """
 
     def __init__(self, path: str, p: TokenParams):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; each thread would keep memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer, self.p, self.cache = Tokenizer.from_file(path), p, {}
+        self.seen, self.marked = np.zeros(p.marks, dtype=bool), 0
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
         self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -134,20 +141,32 @@ class Encoder:
             out.update(zip(some, (ids.tobytes() for ids in self._fast(some))))
         return out
 
+    def again(self, words: list[str]) -> list[bool]:
+        """Whether each word was marked before, or one that shares its place; all are marked now."""
+        if self.marked + len(words) > len(self.seen) // 2:
+            self.seen[:], self.marked = False, 0
+        places = np.fromiter(map(hash, words), dtype=np.int64, count=len(words)) % len(self.seen)
+        found = self.seen[places]
+        self.seen[places] = True
+        self.marked += len(words) - int(found.sum())
+        return found.tolist()
+
     def learn(self, words: list[str]) -> list[bytes]:
-        """Ids of words that the cache lacks; it remembers them, and is emptied where it would hold more than it may."""
+        """Ids of words that the cache lacks; it remembers those that come again, and is emptied where it would hold more than it may."""
         if len(self.cache) + len(words) > self.p.cache:
             self.cache = {}
         cache = self.cache
         tails = [w[-1] if w.endswith((".", ",")) and w[-2:-1] < "\u0250" and w[-2:-1].isalpha() else "" for w in words]
         heads = [w[:-1] if tail else w for w, tail in zip(words, tails)]
-        cache.update(self.encoded([w for w in {*heads, *tails} if w not in cache]))
-        out = [cache[head] + cache[tail] if tail else cache[head] for head, tail in zip(heads, tails)]
-        cache.update(zip(words, out))
-        for some in (words, heads):
-            for w in some:
-                if len(w) > self.p.longest:
-                    cache.pop(w, None)
+        parts = {*heads, *tails}
+        ids = {w: cache[w] for w in parts if w in cache}
+        new = [w for w in parts if w not in ids]
+        ids |= self.encoded(new)
+        out = [ids[head] + ids[tail] if tail else ids[head] for head, tail in zip(heads, tails)]
+        whole = [w for w, tail in zip(words, tails) if tail]
+        ids.update((w, x) for w, x, tail in zip(words, out, tails) if tail)
+        fresh = new + whole
+        cache.update((w, ids[w]) for w, known in zip(fresh, self.again(fresh)) if known and len(w) <= self.p.longest)
         if len(cache) > self.p.cache:
             self.cache = {}
         return out
@@ -162,6 +181,7 @@ class Encoder:
             begin = upto[first] - size[first]
             n = max(1, int(np.searchsorted(upto, begin + self.p.chunk_bytes, "right")) - first)
             out += self._chunk(texts.slice(first, n))
+            pa.default_memory_pool().release_unused()  # else the worker keeps the largest chunk's
             first += n
         return out
 

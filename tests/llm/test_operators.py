@@ -756,6 +756,21 @@ def test_damaged_member(spark):
     assert got[7]["feature"].startswith("damaged") and got[7]["payload_sha256"] is None and got[8]["n_bytes"] == 150
 
 
+def test_encoder_remembers_words_that_come_again():
+    """Words that come once would fill the memory of a worker, which later stages share with it."""
+    p = queries.token_params()
+    enc = tokenio.Encoder(p.tokenizer, p)
+    rng = random.Random(31)
+    text = " ".join(sorted({"".join(rng.choices("abcdefghij", k=9)) + rng.choice(["", ".", ",", "7"]) for _ in range(20_000)}))
+    first = enc.batch([text])
+    assert first == [enc.whole(text)] and len(enc.cache) < 400
+    assert enc.batch([text]) == first and len(enc.cache) >= 19_000
+    remembered = dict(enc.cache)
+    assert enc.batch([text, "one " + text]) == [enc.whole(text), enc.whole("one " + text)] and remembered.keys() <= enc.cache.keys()
+    few = tokenio.Encoder(p.tokenizer, tokenio.TokenParams(tokenizer=p.tokenizer, marks=64))
+    assert few.batch([text, text]) == first * 2
+
+
 def test_encoder_of_texts_with_special_strings():
     e = tokenio.Encoder(tokens().tokenizer, tokens())
     rng = random.Random(8)
